@@ -63,11 +63,11 @@ def p7_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 P7_SECTIONS_SQL = """
-with s as (select chunk_id, list_filter(string_split(regexp_replace(lower(source_path), '\\s+', '', 'g'), '/'), x -> regexp_matches(x, '^(sub)?section(\\[|$)')) s,
-  list_transform(regexp_split_to_array(subsection_title, '[>›]'), x -> trim(x)) t from label_chunk),
+with s as (select chunk_id, list_filter(string_split(regexp_replace(lower(source_path), '\\s+', '', 'g'), '/'), lambda x: regexp_matches(x, '^(sub)?section(\\[|$)')) s,
+  list_transform(regexp_split_to_array(subsection_title, '[>›]'), lambda x: trim(x)) t from label_chunk),
 r as (select chunk_id, s, t, unnest(range(len(s)))::int i from s)
 select chunk_id record_id, array_to_string(s[1:i], '/') parent_path, array_to_string(s[1:i+1], '/') path, i depth,
-  case when starts_with(s[i+1], 'subsection') then nullif(t[len(list_filter(s[1:i+1], z -> starts_with(z, 'subsection')))], '') end title from r"""
+  case when starts_with(s[i+1], 'subsection') then nullif(t[len(list_filter(s[1:i+1], lambda z: starts_with(z, 'subsection')))], '') end title from r"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
