@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import duplicates, survivors
+from labelloom.llm import duplicates, leaks, survivors, tokens
 from labelloom.llm.canonical import canonical_fields, canonical_fields_sql, canonical_sql, canonical_text
 from labelloom.session import load
 
@@ -70,9 +70,37 @@ e as (select a, b, c, lower(trim(evidence_status)) evidence_status from k where
 select first_item_id, s.item_id survivor_item_id, evidence_status from g join s using (a, b, c) left join e using (a, b, c)"""
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_texts(load(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts encoded and decoded again; null texts come back empty."""
+    return tokens.decode_ids(p8_ids(spark, sf_dir), "doc_id", "ids")
+
+
+P8_DECODED_SQL = "select doc_id, coalesce(text, '') as text from documents"
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.shared_passages(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_item"))
+
+
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with most of an item's rarest words close together."""
+    return leaks.near_passages(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_item"))
+
+
+P9_SQL = """
+with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents), i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from eval_item),
+a as (select doc_id, array_to_string(w[k:k+9], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 8)) k from d)),
+b as (select item_id, array_to_string(w[k:k+9], ' ') g from (select item_id, w, unnest(range(1, len(w) - 8)) k from i))
+select distinct doc_id, item_id from a join b using (g)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_merged": p5_merged}
+    return {"p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_merged": p5_merged, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_near": p9_near}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL, "p4_copies": P4_COPIES_SQL, "p5_found": P5_SQL}
+    return {"p4_found": P4_SQL, "p4_copies": P4_COPIES_SQL, "p5_found": P5_SQL, "p8_decoded": P8_DECODED_SQL, "p9_found": P9_SQL}
