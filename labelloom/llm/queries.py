@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import duplicates, leaks, survivors, tokens
+from labelloom.llm import duplicates, leaks, lookalikes, survivors, tokens
 from labelloom.llm.canonical import canonical_fields, canonical_fields_sql, canonical_sql, canonical_text
 from labelloom.session import load
 
@@ -70,6 +70,18 @@ e as (select a, b, c, lower(trim(evidence_status)) evidence_status from k where
 select first_item_id, s.item_id survivor_item_id, evidence_status from g join s using (a, b, c) left join e using (a, b, c)"""
 
 
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text and quote in one consistent form, and whether it was changed."""
+    texts = {"label_chunk": load(spark, sf_dir, "label_chunk").select("chunk_id", "text"), "evidence_item": load(spark, sf_dir, "evidence_item").select("item_id", "supporting_quote")}
+    counts = lookalikes.character_counts([df.select(df.columns[1]) for df in texts.values()])
+    parts = [lookalikes.unify(df, df.columns[0], df.columns[1], counts).select(F.lit(name).alias("source_table"), F.col(df.columns[0]).alias("record_id"), "unified", "changed") for name, df in texts.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_texts(spark, sf_dir).filter("changed").select("source_table", "record_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(load(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -99,7 +111,7 @@ select distinct doc_id, item_id from a join b using (g)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_merged": p5_merged, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_near": p9_near}
+    return {"p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_merged": p5_merged, "p6_found": p6_found, "p6_texts": p6_texts, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_near": p9_near}
 
 
 def oracle_sql() -> dict[str, str]:
