@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import duplicates, leaks, lookalikes, survivors, tokens
+from labelloom.llm import duplicates, languages, leaks, lookalikes, survivors, tokens
 from labelloom.llm.canonical import canonical_fields, canonical_fields_sql, canonical_sql, canonical_text
 from labelloom.session import load
 
@@ -110,8 +110,18 @@ b as (select item_id, array_to_string(w[k:k+9], ' ') g from (select item_id, w,
 select distinct doc_id, item_id from a join b using (g)"""
 
 
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every document with its language and confidence."""
+    docs = load(spark, sf_dir, "documents")
+    return languages.classify(docs, "doc_id", "text", "lang", languages.fit(docs, "text", "lang"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.mislabelled(p10_segments(spark, sf_dir), "doc_id").select("doc_id", "lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_merged": p5_merged, "p6_found": p6_found, "p6_texts": p6_texts, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_near": p9_near}
+    return {"p4_found": p4_found, "p4_copies": p4_copies, "p5_found": p5_found, "p5_merged": p5_merged, "p6_found": p6_found, "p6_texts": p6_texts, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_segments": p10_segments}
 
 
 def oracle_sql() -> dict[str, str]:
