@@ -199,33 +199,44 @@ def decide(model: Model, text: str | None) -> list[tuple[int, str, str, float]]:
 def decide_all(model: Model, texts: list[str | None]) -> list[list[tuple[int, str, str, float]]]:
     """``decide`` for many texts at once.
 
-    A segment gets the nearest language; if the document's main language is
-    nearly as near, or the segment is short, it gets that one, so loose foreign
-    words and short pieces don't make a mixed document.
+    A segment gets the nearest language. It gets the document's main language
+    instead if that is nearly as near, if the segment is short, or if one half
+    of its words lies nearer to it: loose foreign words and short pieces don't
+    make a mixed document.
     """
     parts = [segments(t) for t in texts]
     flat = [plain(s) for p in parts for s in p]
     cosines = model.cosines(flat) if flat and model.languages else np.zeros((len(flat), len(LANGUAGES)), np.float32)
+    letters = np.array([len(w.replace(" ", "")) for w in flat])
+    best, main = cosines.argmax(axis=1) if flat else np.zeros(0, int), np.zeros(len(flat), int)
+    at = 0
+    for p in parts:
+        if p:
+            main[at : at + len(p)] = (cosines[at : at + len(p)] * np.sqrt(letters[at : at + len(p)])[:, None]).sum(axis=0).argmax()
+        at += len(p)
+    every = np.arange(len(flat))
+    top, lead = cosines[every, best], cosines[every, best] - cosines[every, main] if flat else 0
+    other = (best != main) & (top >= NEAR) & (letters >= LEAST_LETTERS) & (lead >= LEAD)
+    doubtful = np.flatnonzero(other)
+    if len(doubtful):
+        halves = [" ".join(h) for i in doubtful for w in (flat[i].split(),) for h in (w[: (len(w) + 1) // 2], w[len(w) // 2 :])]
+        near = model.cosines(halves).reshape(len(doubtful), 2, len(LANGUAGES))
+        each = np.arange(len(doubtful))
+        other[doubtful] = (near[each, :, best[doubtful]] > near[each, :, main[doubtful]]).all(axis=1)
+    chosen = np.where(other, best, main)
+    rest = cosines.copy()
+    rest[every, chosen] = -1
+    value, second = cosines[every, chosen], rest.max(axis=1) if flat else rest
+    known = (top >= REJECT) & (letters >= 3)
     out, at = [], 0
     for p in parts:
-        n = len(p)
-        own, words = cosines[at : at + n], flat[at : at + n]
-        at += n
-        letters = np.array([len(w.replace(" ", "")) for w in words])
         rows = []
-        if n:
-            main = int((own * np.sqrt(letters)[:, None]).sum(axis=0).argmax())
-        for i in range(n):
-            best = int(own[i].argmax())
-            second = float(np.partition(own[i], -2)[-2])
-            top = float(own[i, best])
-            if top < REJECT or letters[i] < 3:
-                rows.append((i, p[i], "", 0.0))
-                continue
-            if best != main and (top < NEAR or letters[i] < LEAST_LETTERS or top - float(own[i, main]) < LEAD):
-                best, second, top = main, top, float(own[i, main])
-            rows.append((i, p[i], LANGUAGES[best], round(max(0.0, min(1.0, 0.5 + (top - second) / (2 * max(top, 1e-9)))), 4)))
+        for i, segment in enumerate(p):
+            k = at + i
+            sure = min(1.0, max(0.0, 0.5 + (float(value[k]) - float(second[k])) / (2 * max(float(value[k]), 1e-9)))) if known[k] else 0.0
+            rows.append((i, segment, LANGUAGES[chosen[k]] if known[k] else "", round(sure, 4)))
         out.append(rows)
+        at += len(p)
     return out
 
 

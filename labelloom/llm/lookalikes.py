@@ -176,7 +176,11 @@ class Rewriter:
             if len(word) < (2 if s == "CYRILLIC" else 3) or sentence[s] or not sentence["LATIN"]:
                 return None
             return "LATIN" if all(c in self.by_script["LATIN"] for c in word) else None
+        letters, most = scripts.total(), max(SCRIPTS, key=lambda s: (sentence[s], s == "LATIN"))
         for s in sorted(scripts, key=lambda s: (-sentence[s], -scripts[s], s)):
+            # a few letters of a script don't claim a word, unless all around it is Latin
+            if 2 * scripts[s] < letters and not s == most == "LATIN":
+                continue
             if all(script(c) == s or c in self.by_script[s] for c in word if script(c)):
                 return s
         return None
