@@ -93,8 +93,9 @@ def parts(f: str) -> str:
     per = rf"(\d+|{words})\s+(?:cases?|events?)\s+per\s+(\d[\d,]*)\s+(patient-years?|person-years?|patients?)"
     count = r"^\s*(\d[\d,]*)\s+((?:treated\s+)?(?:patients?|subjects?|participants?))\s*$"
     ratio = r"(\d+(?:\.\d+)?)\s*/\s*(\d[\d,]*(?:\.\d+)?)(?:\s+(treated\s+patients?|patients?|subjects?|cases?))?"
-    number = f"coalesce(nullif(array_position(array({', '.join(lit(w) for w in R.NUMBER_WORDS)}), lower({group(per, 1)})), 0), try_cast({group(per, 1)} as double))"
-    out = lambda value, unit: f"named_struct('value', cast({value} as double), 'unit', {unit})"
+    number = f"coalesce(nullif(array_position(array({', '.join(lit(w) for w in R.NUMBER_WORDS)}), lower({group(per, 1)})), 0), try_cast({group(per, 1)} as bigint))"
+    # wide digits count as digits, too
+    out = lambda value, unit: f"named_struct('value', try_cast(translate({value}, '０１２３４５６７８９', '0123456789') as double), 'unit', {unit})"
     quality = ", ".join(lit(w) for w in (*R.QUALITATIVE, "frequency cannot be estimated"))
     return (
         f"case when {has(f, percent)} then {out(group(percent, 1), lit('percent'))}"
@@ -102,7 +103,7 @@ def parts(f: str) -> str:
         f" when {has(f, per)} then {out(number, f"concat('per ', {group(per, 2)}, ' ', {group(per, 3)})")}"
         f" when {has(f, count)} then {out(f"replace({group(count, 1)}, ',', '')", group(count, 2))}"
         f" when {has(f, ratio)} then {out(group(ratio, 1), f"rtrim(concat('per ', {group(ratio, 2)}, ' ', {group(ratio, 3)}))")}"
-        f" when lower({f}) in ({quality}) then {out('null', lit('qualitative'))} else {out('null', 'cast(null as string)')} end"
+        f" when lower({f}) in ({quality}) then {out('cast(null as string)', lit('qualitative'))} else {out('cast(null as string)', 'cast(null as string)')} end"
     )
 
 

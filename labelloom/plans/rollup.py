@@ -41,7 +41,7 @@ def merge_items(items: DataFrame, order: str = "item_order") -> DataFrame:
     keyed = items.withColumn("__k", F.sha2(F.to_json(F.struct(*merge_key()), {"ignoreNullFields": "false"}), 256))
     scalars = [c for c in items.columns if c not in (*UNITED, order, "postmarketing_only")]
     united = [c for c in UNITED if c in items.columns]
-    one = keyed.groupBy("__k").agg(F.min_by(F.struct(*scalars), order).alias("__s"), F.min(order).alias(order), F.bool_and("postmarketing_only").alias("postmarketing_only"), F.count(F.lit(1)).alias("merged"))
+    one = keyed.groupBy("__k").agg(F.min_by(F.struct(*scalars), F.struct(order)).alias("__s"), F.min(order).alias(order), F.bool_and("postmarketing_only").alias("postmarketing_only"), F.count(F.lit(1)).alias("merged"))
     entry = lambda field: lambda v, i: F.struct(F.lit(field).alias("field"), i.alias("i"), v.alias("v"))
     each = F.flatten(F.array(*[F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), entry(c)) for c in united]))
     values = keyed.select("__k", F.col(order).alias("__o"), F.inline(each)).filter(F.length("v") > 0)
