@@ -70,12 +70,12 @@ def change_events(df: DataFrame, keys: list[str], at: str, state: list[str], sco
     nothing. Other columns are not read.
     """
     rows = df.select(*keys, at, F.struct(*state).alias("__state")).filter(F.col(at).isNotNull())
-    snapshots = rows.groupBy(*keys, at).agg(F.min("__state").alias("__state"))
+    # written once: numbering reads it twice, and telling the state may be dear
+    snapshots = written(rows.groupBy(*keys, at).agg(F.min("__state").alias("__state")), "states")
     if scope == "entity":
         snapshots = written(numbered(snapshots, keys, at, bucket), "snapshots")
         moments = None
     elif scope == "global":
-        snapshots = written(snapshots, "snapshots")
         moments = numbered(snapshots.select(at).distinct().withColumn("__all", F.lit(0)), ["__all"], at, bucket).select(F.col(at).alias("__at"), "__seq")
         snapshots = snapshots.join(moments, F.col(at) == F.col("__at")).drop("__at")
     else:
