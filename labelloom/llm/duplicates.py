@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.session import written
+
 #: A key is hot from this share of all rows, and from this number of rows at least.
 HOT_SHARE, HOT_ROWS = 1e-4, 20_000
 SALTS = 64
@@ -41,6 +43,7 @@ def collapse(df: DataFrame, id_column: str, key: Column, hot_share: float = HOT_
     included. At most 1 / ``hot_share`` keys are hot, so they may be broadcast.
     """
     keyed = df.select(F.col(id_column).alias("id"), key.alias("k")).filter(F.col("k").isNotNull() & F.col("id").isNotNull())
+    keyed = written(keyed, "keys")  # it is read for counting, for the hot keys and for the rest
     counts = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"))  # partial counts are made before the shuffle
     rows = keyed.agg(F.greatest(F.lit(hot_rows), F.count(F.lit(1)) * F.lit(hot_share)).alias("least"))
     hot = counts.join(F.broadcast(rows), F.col("n") >= F.col("least"), "inner").select("k")
