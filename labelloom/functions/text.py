@@ -53,6 +53,12 @@ def term_pattern(term: str) -> str:
     return f"concat({lit('(?iU)(?<!\\w)')}, {quoted(term)}, {lit('(?!\\w)')})"
 
 
+def names_term(text: str, term: str) -> str:
+    """SQL: whether a text names a literal term; the pattern runs only where the term's first word may be (long s and Kelvin sign fold to s and k)."""
+    word = lit(term.lower().split(" ")[0])
+    return f"((contains(lower({text}), {word}) or contains({text}, 'ſ') or contains({text}, 'K')) and {text} rlike {term_pattern(lit(term))})"
+
+
 def sentences(text: str) -> str:
     """Sentences of a text; common abbreviations don't end one."""
     out = collapse(text)
@@ -118,4 +124,5 @@ def strip_headings(folded: str, headings: str) -> str:
     step = f"transform(array({hit}), f -> if(f is null, acc.t, trim(substr(acc.t, length(f) + 1))))[0]"
     rounds = f"sequence(0, size(split({folded}, ' ')))"
     zero = f"named_struct('t', {folded}, 'hs', {ordered})"
-    return f"aggregate({rounds}, {zero}, (acc, i) -> named_struct('t', {step}, 'hs', acc.hs), acc -> acc.t)"
+    begins = f"exists({headings}, h -> length(h) > 0 and startswith(concat({folded}, ' '), concat(h, ' ')))"
+    return f"if(not {begins}, {folded}, aggregate({rounds}, {zero}, (acc, i) -> named_struct('t', {step}, 'hs', acc.hs), acc -> acc.t))"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import rules as R
 from labelloom.functions import text as X
 from labelloom.plans import extract, rollup
+from labelloom.session import written
 
 
 @dataclass
@@ -61,7 +62,7 @@ def analyze(drugs: DataFrame, labels: DataFrame, chunks: DataFrame, event: str)
     every = own.select(*wanted).unionByName(other.select(*wanted))
     named = product_context(drugs, labels)
     ready = every.join(named, "rxcui")
-    found = extract.items(ready, [plan])
+    found = written(extract.items(ready, [plan]), "items")  # merging reads the items twice
     searched = every.select("rxcui").distinct().withColumn("__searched", F.lit(True))
     lacking = drugs.join(searched, "rxcui", "left").filter(F.col("__searched").isNull())
     event_name = F.lit(plan["normalized_event"])

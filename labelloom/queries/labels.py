@@ -12,7 +12,7 @@ from labelloom.functions import numeric as N
 from labelloom.functions import rules as R
 from labelloom.functions import text as X
 from labelloom.plans import discover, evaluate, extract, quality, rollup
-from labelloom.session import load
+from labelloom.session import load, written
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -217,10 +217,10 @@ TERMS = sorted({t for d, r in R.EVENTS.values() for t in (*d, *r)})
 @query("select term, count(*) n, min(chunk_id) first_chunk_id from label_chunk, (select unnest([" + ", ".join(f"'{t}'" for t in TERMS) + "]) term) where regexp_matches(text, '(?i)(^|[^\\pL\\pN_])' || replace(term, ' ', '\\s+') || '([^\\pL\\pN_]|$)') group by term")
 def term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that name each event term as whole words."""
-    terms = "array(" + ", ".join(X.lit(t) for t in TERMS) + ")"
+    hits = ", ".join(f"case when {X.names_term('text', t)} then {X.lit(t)} end" for t in TERMS)
     df = load(spark, sf_dir, "label_chunk").select("chunk_id", "text")
     # only chunks with any term are exploded by the terms they hold
-    df = df.withColumn("term", F.explode(F.expr(f"filter({terms}, t -> text rlike {X.term_pattern('t')})")))
+    df = df.withColumn("term", F.explode(F.expr(f"filter(array({hits}), t -> t is not null)")))
     return df.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("first_chunk_id"))
 
 
@@ -237,8 +237,8 @@ def extracted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence items of two events found in all label chunks, merged."""
     chunks = load(spark, sf_dir, "label_chunk").withColumn("set_id", F.lower("set_id"))
     ready = extract.parent_context(extract.searchable(chunks)).join(drugs_of_labels(spark, sf_dir), "set_id")
-    items = rollup.merge_items(extract.items(ready, [extract.event_plan(e) for e in ("hypotension", "qt prolongation")]))
-    return items.drop("source_text")
+    items = written(extract.items(ready, [extract.event_plan(e) for e in ("hypotension", "qt prolongation")]), "items")
+    return rollup.merge_items(items).drop("source_text")
 
 
 @query()
