@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelloom.functions import text as X
+from labelloom.operators.ranking import ranked
 
 # Salt words, synonyms of class names, orders of types and sources.
 SALTS = (
@@ -70,8 +71,7 @@ def usage_rollup(matched: DataFrame) -> DataFrame:
     """Claims per drug, ranked: most claims, then most beneficiaries, name and rxcui.
 
     ``matched`` has rxcui, name, generic_name, claims, beneficiaries and
-    match_quality. Beneficiaries are null if all are. The rank is one total
-    order; drugs are few compared with their rows.
+    match_quality. Beneficiaries are null if all are.
     """
     df = matched.groupBy("rxcui").agg(
         F.min("name").alias("name"),
@@ -81,8 +81,7 @@ def usage_rollup(matched: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("match_quality")).alias("__q"),
     )
     df = df.withColumns({"match_quality": F.array_join("__q", ", "), "approximate_match": F.array_join("__q", ", ") != "exact"}).drop("__q")
-    order = Window.orderBy(F.desc("total_claims"), F.desc(F.coalesce("total_beneficiaries", F.lit(0))), F.lower("name"), "rxcui")
-    return df.withColumn("rank", F.row_number().over(order))
+    return ranked(df, [F.desc("total_claims"), F.desc(F.coalesce("total_beneficiaries", F.lit(0))), F.lower("name"), F.col("rxcui")], "rank")
 
 
 def class_bucket(name: Column, query: str) -> Column:

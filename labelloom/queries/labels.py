@@ -11,6 +11,7 @@ from labelloom.functions import assertion as A
 from labelloom.functions import numeric as N
 from labelloom.functions import rules as R
 from labelloom.functions import text as X
+from labelloom.operators.ranking import ranked
 from labelloom.plans import discover, evaluate, extract, quality, rollup
 from labelloom.session import load, written
 
@@ -404,9 +405,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {CATALOG} select class_id, class_name, row_number() over (order by lower(class_name), class_id) as position from k")
 def class_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct classes in order of name; classes are few, so the order is made in one place."""
-    df = catalog(spark, sf_dir)
-    return df.select("class_id", "class_name", F.row_number().over(Window.orderBy(F.lower("class_name"), "class_id")).cast("bigint").alias("position"))
+    """Distinct classes in order of name."""
+    return ranked(catalog(spark, sf_dir), [F.lower("class_name"), F.col("class_id")], "position").select("class_id", "class_name", "position")
 
 
 @query(
