@@ -215,7 +215,7 @@ def evidence_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 TERMS = sorted({t for d, r in R.EVENTS.values() for t in (*d, *r)})
 
 
-@query("select term, count(*) n, min(chunk_id) first_chunk_id from label_chunk, (select unnest([" + ", ".join(f"'{t}'" for t in TERMS) + "]) term) where regexp_matches(text, '(?i)(^|[^\\pL\\pN_])' || replace(term, ' ', '\\s+') || '([^\\pL\\pN_]|$)') group by term")
+@query(" union all ".join(f"select '{t}' term, count(*) n, min(chunk_id) first_chunk_id from label_chunk where regexp_matches(text, '(?i)(^|[^\\pL\\pN_]){t.replace(' ', chr(92) + 's+')}([^\\pL\\pN_]|$)') having count(*) > 0" for t in TERMS))
 def term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that name each event term as whole words."""
     hits = ", ".join(f"case when {X.names_term('text', t)} then {X.lit(t)} end" for t in TERMS)
