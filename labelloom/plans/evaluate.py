@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions import rules as R
+from labelloom.functions import text as X
+from labelloom.plans.extract import event_plan, folded
 from labelloom.plans.rollup import priority
 
 # Orders of preference of a case's primary item.
@@ -34,30 +36,88 @@ def path_indices(path: Column) -> Column:
     return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, found).otherwise(F.array(F.lit(LAST)))
 
 
-def selection_key(order: str) -> Column:
-    """Key by which the primary item of a case is the smallest: status, confidence, subject, context, traceability, wholeness, place."""
-    filled = lambda c: F.coalesce(F.length(F.trim(c)) > 0, F.lit(False)).cast("int")
+def case_terms(query: Column) -> Column:
+    """``direct`` and ``searched`` terms of an event query as in ``event_plan``."""
+    wanted = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(query, F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    terms = lambda direct, searched: F.struct(direct.alias("direct"), searched.alias("searched"))
+    array = lambda values: F.array(*[F.lit(v) for v in values])
+    own = F.when(F.length(wanted) > 0, F.array(wanted)).otherwise(F.array().cast("array<string>"))
+    known = [folded(t) for event in R.EVENTS.values() for group in event for t in group]
+    plans = {t: event_plan(t) for t in known}
+    table = [c for t, p in plans.items() for c in (F.lit(t), terms(array(p["direct_terms"]), array(dict.fromkeys(p["direct_terms"] + p["related_terms"]))))]
+    return F.coalesce(F.try_element_at(F.create_map(*table), wanted), terms(own, own))
+
+
+def classification_supported() -> Column:
+    """Whether an item's quote or fields bear out its status."""
+    says = lambda *words: "(" + " or ".join(f"contains(lower(supporting_quote), {X.lit(w)})" for w in words) + ")"
+    return F.expr(
+        f"""coalesce(case evidence_status when 'negated' then {says("no cases", "not observed", "none observed")}
+        when 'historical_or_preexisting' then {says("pre-existing", "preexisting", "history of")}
+        when 'comparator_only' then {says("placebo", "comparator", "control")}
+        when 'interaction_dependent' then coalesce(size(interaction_context) > 0, false) or coalesce(array_contains(evidence_context, 'drug_interaction'), false)
+        when 'explicit_positive' then assertion = 'present' and length(matched_term) > 0
+        when 'related_but_not_explicit' then assertion = 'uncertain' and length(matched_term) > 0 else true end, false)"""
+    )
+
+
+def direct_statement() -> Column:
+    """0 if a clause of the quote names the drug and a direct term, 2 for other interactions and conditions, else 1."""
+    both = f"exists(split(supporting_quote, {X.lit('(?U)(?<=[.!?;])\\s+')}), c -> c rlike {X.term_pattern('drug_name')} and exists(__terms.direct, t -> c rlike {X.term_pattern('t')}))"
+    return F.expr(f"case when {both} then 0 when evidence_status = 'interaction_dependent' or assertion = 'conditional' or size(interaction_context) > 0 then 2 else 1 end")
+
+
+def selection_key(order: str, source_text: str | None = None) -> Column:
+    """Key by which the primary item of a case is the smallest.
+
+    In this order: status, direct term, confidence, subject, context,
+    traceability, wholeness, direct statement, path, place of the quote in
+    ``source_text`` (last without one), chunk index (the path's last number),
+    path as text, ``order``. ``__terms`` holds the terms of the case.
+    """
+    holds = lambda text, list_: F.coalesce(F.length(text) > 0, F.lit(False)) | F.coalesce(F.size(list_) > 0, F.lit(False))
+    quote = F.coalesce("supporting_quote", F.lit(""))
+    path = F.coalesce(F.nullif("source_path", F.lit("")), F.get("source_paths", F.lit(0)), F.lit(""))
     context = F.coalesce(F.array_min(F.transform("evidence_context", lambda c: place(CONTEXTS, c))), F.lit(99))
+    checks = [
+        F.length(F.trim(quote)) > 0,
+        holds(F.col("source_path"), F.col("source_paths")),
+        holds(F.col("chunk_hash"), F.col("chunk_hashes")),
+        F.exists("__terms.searched", lambda t: F.contains(F.lower(quote), t)),
+        classification_supported(),
+    ]
+    at = F.lit(0)
+    if source_text:
+        flat = lambda c: F.expr(f"lower({X.collapse(c)})")
+        at = F.when(F.length(flat("supporting_quote")) > 0, F.instr(flat(source_text), flat("supporting_quote")))
     return F.struct(
         priority("evidence_status").alias("a"),
-        place(R.CONFIDENCES, F.col("extraction_confidence")).alias("b"),
-        place(SUBJECTS, F.col("subject")).alias("c"),
-        context.alias("d"),
-        (-(filled("supporting_quote") + filled("source_path") + filled("chunk_hash"))).alias("e"),
-        quote_incomplete(F.col("supporting_quote")).alias("f"),
-        path_indices(F.col("source_path")).alias("g"),
-        F.coalesce("source_path", F.lit("")).alias("h"),
-        F.col(order).alias("i"),
+        F.when(F.array_contains("__terms.direct", F.lower("matched_term")), 0).otherwise(1).alias("b"),
+        place(R.CONFIDENCES, F.col("extraction_confidence")).alias("c"),
+        place(SUBJECTS, F.col("subject")).alias("d"),
+        context.alias("e"),
+        (-sum(c.cast("int") for c in checks)).alias("f"),
+        quote_incomplete(F.col("supporting_quote")).alias("g"),
+        direct_statement().alias("h"),
+        path_indices(path).alias("i"),
+        F.when(at > 0, at).otherwise(LAST).alias("j"),
+        F.element_at(path_indices(path), -1).alias("k"),
+        path.alias("l"),
+        F.col(order).alias("m"),
     )
 
 
-def primary_items(cases: DataFrame, items: DataFrame, keys: list[str], order: str) -> DataFrame:
+def primary_items(cases: DataFrame, items: DataFrame, keys: list[str], order: str, query: str = "event_query") -> DataFrame:
     """Every case with its primary item in ``item`` (null without items), chosen without looking at the expected values.
 
-    Candidates are reduced by partial aggregation, so a case with many items needs no more memory.
+    Direct and searched terms are those of the case's ``query``. Candidates are
+    reduced by partial aggregation, so a case with many items needs no more memory.
     """
-    best = items.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in items.columns if c not in keys]), selection_key(order)).alias("item"), F.count(F.lit(1)).alias("n_items"))
-    return cases.join(best, keys, "left")
+    cases = cases.withColumn("__query", F.coalesce(query, F.lit("")))
+    wanted = cases.select(*keys, "__query").distinct().withColumn("__terms", case_terms(F.col("__query")))
+    key = selection_key(order, "source_text" if "source_text" in items.columns else None)
+    best = items.join(wanted, keys).groupBy(*keys, "__query").agg(F.min_by(F.struct(*[c for c in items.columns if c not in keys]), key).alias("item"), F.count(F.lit(1)).alias("n_items"))
+    return cases.join(best, [*keys, "__query"], "left").drop("__query")
 
 
 def quote_match(expected: Column, predicted: Column) -> Column:

@@ -294,7 +294,7 @@ best as (select * from p where r = 1)"""
 
 
 def gold_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = load(spark, sf_dir, "gold_case").select("case_no", F.lower(F.trim("normalized_event")).alias("normalized_event"), F.lower("spl_set_id").alias("set_id"), F.nullif(F.lower(F.trim("expected_status")), F.lit("")).alias("expected_status"), "expected_supporting_quote", "gold_review_complete")
+    gold = load(spark, sf_dir, "gold_case").select("case_no", "event_query", F.lower(F.trim("normalized_event")).alias("normalized_event"), F.lower("spl_set_id").alias("set_id"), F.nullif(F.lower(F.trim("expected_status")), F.lit("")).alias("expected_status"), "expected_supporting_quote", "gold_review_complete")
     items = evidence(spark, sf_dir).drop("item_order")
     return evaluate.primary_items(gold, items, ["set_id", "normalized_event"], "item_id")
 
