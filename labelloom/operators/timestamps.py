@@ -8,10 +8,14 @@ offset directly.
 
 from __future__ import annotations
 
+import struct
 from datetime import datetime, timezone
 from functools import lru_cache
+from importlib import resources
+from io import BytesIO
 from itertools import pairwise
-from zoneinfo import ZoneInfo, available_timezones
+from pathlib import Path
+from zoneinfo import TZPATH, ZoneInfo, available_timezones
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,24 +39,57 @@ MONTH_NAMES = "janfebmaraprmayjunjulaugsepoctnovdec"
 INTERVAL = pa.struct([("from_l", pa.int64()), ("to_l", pa.int64()), ("offset_s", pa.int32()), ("abbr", pa.string())])
 
 
+def zone_file(zone: str) -> bytes:
+    """The zone's TZif file, from where ``zoneinfo`` reads it."""
+    for folder in TZPATH:
+        if (path := Path(folder, zone)).is_file():
+            return path.read_bytes()
+    return resources.files("tzdata").joinpath("zoneinfo", zone).read_bytes()
+
+
+def listed_changes(data: bytes) -> tuple[list[int], bool]:
+    """The transitions that a TZif file lists, in UTC seconds, and whether its rule for later years changes the offset."""
+    head = struct.Struct(">4sc15x6l")
+    _, version, isut, isstd, leap, times, types, chars = head.unpack_from(data)
+    at, width = head.size, 4
+    if version >= b"2":
+        at += times * 5 + types * 6 + chars + leap * 8 + isstd + isut
+        _, _, isut, isstd, leap, times, types, chars = head.unpack_from(data, at)
+        at, width = at + head.size, 8
+    listed = list(struct.unpack_from(f">{times}{'q' if width == 8 else 'l'}", data, at))
+    rule = data[at + times * (width + 1) + types * 6 + chars + leap * (width + 4) + isstd + isut :]
+    return listed, b"," in rule
+
+
 def zone_intervals(zone: str) -> list[tuple[int, int, int, str]]:
     """(start, end, offset, abbreviation) of a zone, start and end in UTC seconds.
 
-    Changes are found by bisection between probes four weeks apart, to the
-    half minute that all changes since 1970 fall on.
+    Changes are those that the zone's file lists; where its rule goes on after
+    them, they are found by bisection between daily probes.
     """
-    tz, step = ZoneInfo(zone), 28 * 86400
+    return _intervals(zone_file(zone))
+
+
+@lru_cache(maxsize=1024)
+def _intervals(data: bytes) -> list[tuple[int, int, int, str]]:
+    tz, step = ZoneInfo.from_file(BytesIO(data)), 86400
     offset = lambda s: datetime.fromtimestamp(s, tz).utcoffset()
-    moment = int(datetime(FIRST_YEAR - 1, 12, 1, tzinfo=timezone.utc).timestamp())
+    first = int(datetime(FIRST_YEAR - 1, 12, 1, tzinfo=timezone.utc).timestamp())
     last = int(datetime(LAST_YEAR + 1, 2, 1, tzinfo=timezone.utc).timestamp())
-    changes, now = [], offset(moment)
-    while moment < last:
+    listed, goes_on = listed_changes(data)
+    changes, now = [], offset(first)
+    for moment in listed:
+        if first < moment < last and offset(moment) != now:
+            changes.append(moment)
+            now = offset(moment)
+    moment = max([first, *listed])
+    while goes_on and moment < last:
         if offset(moment + step) != now:
-            low, high = moment // 30, (moment + step) // 30
+            low, high = moment, moment + step
             while high - low > 1:
                 middle = (low + high) // 2
-                low, high = (middle, high) if offset(30 * middle) == now else (low, middle)
-            changes.append(moment := 30 * high)
+                low, high = (middle, high) if offset(middle) == now else (low, middle)
+            changes.append(moment := high)
             now = offset(moment)
         else:
             moment += step

@@ -1,8 +1,8 @@
 import datetime as dt
 import random
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, available_timezones
 
-from labelloom.operators.timestamps import normalize_timestamps
+from labelloom.operators.timestamps import normalize_timestamps, zone_intervals
 
 UTC = dt.timezone.utc
 
@@ -75,3 +75,24 @@ def test_repeated_and_empty(spark):
     df = spark.createDataFrame([("2024-01-01",)] * 3, "t string")
     assert [r.epoch_s for r in normalize_timestamps(df, "t").collect()] == [at(2024, 1, 1)] * 3
     assert normalize_timestamps(df.limit(0), "t").count() == 0
+
+
+def test_every_zone():
+    step = 5 * 86400
+    for zone in available_timezones():
+        tz, rows = ZoneInfo(zone), iter(zone_intervals(zone))
+        row = next(rows)
+        for moment in range(at(1970, 1, 1), at(2061, 1, 1), step):
+            while moment >= row[1]:
+                before, row = row, next(rows)
+                for s, r in ((row[0] - 1, before), (row[0], row)):
+                    assert dt.datetime.fromtimestamp(s, tz).utcoffset().total_seconds() == r[2], (zone, s)
+            assert dt.datetime.fromtimestamp(moment, tz).utcoffset().total_seconds() == row[2], (zone, moment)
+
+
+def test_short_intervals(spark):
+    cases = [("2010-09-20 12:00:00", "Africa/Cairo", "resolved"), ("2000-10-10 12:00:00", "America/Recife", "resolved"), ("2010-09-09 23:30:00", "Africa/Cairo", "resolved"), ("2010-09-10 00:30:00", "Africa/Cairo", "skipped")]
+    got = {(r.t, r.z): r for r in normalize_timestamps(spark.createDataFrame([c[:2] for c in cases], "t string, z string"), "t", "z").collect()}
+    for t, z, status in cases:
+        r = got[t, z]
+        assert (r.epoch_s, r.epoch_s_status) == (int(dt.datetime.fromisoformat(t).replace(tzinfo=ZoneInfo(z)).timestamp()), status), (t, z)
