@@ -36,6 +36,10 @@ PAIRS = (
 KINDS = ("<wide>", "<narrow>", "<font>", "<circle>", "<compat>")
 PLAIN_SPACES = " \t\n\r"
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
+#: Picture signs that are joined; neither the signs of Latin-1 and of letters (™ ℃ №) nor framed letters.
+PICTURE = "[\u2194\u2195\u2600-\u2767\u2794-\u27bf\u2b00-\u2bff\U0001f000-\U0001f0ff\U0001f300-\U0001faff]"
+#: Invisible characters that are part of a picture: a joiner between two signs, and the closed tags of a flag.
+PICTURE_PARTS = re.compile(rf"(?:(?<={PICTURE})|(?<={PICTURE}[\ufe00-\ufe0f]))\u200d(?={PICTURE})|(?<={PICTURE})[\U000e0020-\U000e007e]+\U000e007f")
 
 
 class Classes:
@@ -148,22 +152,19 @@ class Rewriter:
 
     def shapes(self, text: str) -> str:
         """Shaped, joined, spaced, decomposed and hidden characters rewritten, longest match first from the left."""
-        out, at = [], 0
+        out, at, kept = [], 0, None
         for end, (pattern, by) in self.automaton.iter_long(text):
             begin = end + 1 - len(pattern)
-            if by == "" and self._emoji(text, begin, end + 1):
-                continue
+            if by == "":
+                if kept is None:
+                    kept = {i for m in PICTURE_PARTS.finditer(text) for i in range(*m.span())}
+                if begin in kept:
+                    continue
             out.append(text[at:begin])
             out.append(by)
             at = end + 1
         return "".join([*out, text[at:]]) if out else text
 
-    @staticmethod
-    def _emoji(text: str, begin: int, end: int) -> bool:
-        """Whether a joiner belongs to a picture sign, where it is no disguise."""
-        near = [c for c in (text[begin - 1 : begin], text[end : end + 1]) if c]
-        return any(unicodedata.category(c) == "So" or 0xFE00 <= ord(c) <= 0xFE0F or ord(c) >= 0x1F000 for c in near)
-
     def _stand_in(self, word: str, sentence: Counter) -> str | None:
         """The script that a word's letters stand in for, or None."""
         scripts = Counter(s for c in word if (s := script(c)))

@@ -38,6 +38,23 @@ def test_rewrite():
     assert to.rewrite(None) is None
 
 
+def test_invisible_characters_beside_signs():
+    to = rewriter()
+    hidden = ["\u200b", "\u00ad", "\ufeff", "\u2060", "\u200c", "\u200d", "\U000e0041"]
+    for sign in "®™©°№℃→■":
+        for h in hidden:
+            assert to.rewrite(f"Brand{sign}{h} tablets {h}{sign}C {sign}{h}{sign}") == f"Brand{sign} tablets {sign}C {sign}{sign}"
+    for h in hidden:
+        assert to.rewrite(f"a👍{h} b {h}👍 c ©\ufe0f{h}👍") == "a👍 b 👍 c ©\ufe0f👍"
+    for h in hidden[:5]:
+        assert to.rewrite(f"👩{h}⚕") == "👩⚕"
+    flag = "🏴" + "".join(chr(0xE0000 + ord(c)) for c in "gbsct") + "\U000e007f"
+    pictures = ["👩\u200d⚕\ufe0f", "👩🏽\u200d⚕\ufe0f", "🏳\ufe0f\u200d🌈", "🧔\u200d♂\ufe0f", "🙂\u200d↔\ufe0f", "👨\u200d👩\u200d👧", flag]
+    assert [to.rewrite(p) for p in pictures] == pictures
+    assert to.rewrite(flag[:-1] + " x") == "🏴 x"
+    assert to.rewrite("👍" + "\U000e0041" * 50_000) == "👍"
+
+
 def test_rewriting_again_changes_nothing():
     to = rewriter()
     assert all(to.rewrite(v) == v for v in CASES.values())
