@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.functions.text import lit
+
 # Keys under which a lone object is an array of one and a text holding JSON is that JSON.
 LIST_KEYS = (
     "class_members",
@@ -28,6 +30,23 @@ LIST_KEYS = (
 NODE = "struct<path:string,parent:string,collection:string,element:boolean,v:variant>"
 
 
+#: Levels the parser reads; the walk has no limit of its own.
+DEEPEST = 1000
+#: Stands behind a text, so that the parser has to read it to its end.
+END = "\u2402end of text\u2402"
+
+
+def _parsed_sql(text: str) -> str:
+    """SQL of a text that is one JSON value and nothing else as variant, else null."""
+    whole = f"try_variant_get(w, '$[1]', 'string') = '{END}' and try_variant_get(w, '$[2]', 'variant') is null"
+    wrapped = f"""transform(array(try_parse_json(concat('[', {text}, ',"{END}"]'))), w -> case when {whole} then try_variant_get(w, '$[0]', 'variant') end)[0]"""
+    # a text of as many levels as the parser reads can't be wrapped: its brackets have to close once, at its end
+    strings = lit(r'"(?:[^"\\]|\\.)*+"|[^\[\]{}]')
+    closed = f"""aggregate(split(regexp_replace({text}, {strings}, ''), ''), named_struct('d', 0, 'n', 0), (a, c) -> named_struct('d', a.d + case when c in ('[', '{{') then 1 when c = '' then 0 else -1 end, 'n', a.n + int(a.d = 1 and c in (']', '}}'))), a -> a.d = 0 and a.n = 1)"""
+    deep = f"length(regexp_replace({text}, {lit(r'[^\[{]')}, '')) >= {DEEPEST} and {text} rlike {lit(r'[\]}]\s*$')} and {closed}"
+    return f"coalesce({wrapped}, case when {deep} then try_parse_json({text}) end)"
+
+
 def _nodes_sql(text: str, list_keys: tuple[str, ...]) -> str:
     """SQL of all object elements in a JSON text: array of NODE, null if the text doesn't parse."""
     keys = ", ".join(f"'{k}'" for k in list_keys) or "''"
@@ -35,7 +54,7 @@ def _nodes_sql(text: str, list_keys: tuple[str, ...]) -> str:
     is_array = "schema_of_variant({}) like 'ARRAY%'".format
     is_text = "schema_of_variant({}) = 'STRING'".format
     # a member's value with texts read as JSON under the list keys
-    parsed = f"if(e.key in ({keys}) and {is_text('e.value')}, coalesce(try_parse_json(cast(e.value as string)), e.value), e.value)"
+    parsed = f"if(e.key in ({keys}) and {is_text('e.value')}, coalesce({_parsed_sql('cast(e.value as string)')}, e.value), e.value)"
     lone = f"e.key in ({keys}) and {is_object('w')}"
     inner = "if(n.element, n.path, n.parent)"  # children of an element object have it as parent
     member = f"""transform(array({parsed}), w -> named_struct(
@@ -48,11 +67,12 @@ def _nodes_sql(text: str, list_keys: tuple[str, ...]) -> str:
         else cast(array() as array<{NODE}>) end))"""
     children = f"filter({children}, n -> {is_object('n.v')} or {is_array('n.v')})"
     here = f"filter(acc.f, n -> n.element and {is_object('n.v')})"
-    root = f"array(named_struct('path', '$', 'parent', '$', 'collection', cast(null as string), 'element', false, 'v', try_parse_json({text})))"
+    root = f"array(named_struct('path', '$', 'parent', '$', 'collection', cast(null as string), 'element', false, 'v', __v))"
     depth = f"sequence(0, length(regexp_replace({text}, '[^\\\\[{{]', '')) + 1)"
     start = f"named_struct('f', cast({root} as array<{NODE}>), 'o', cast(array() as array<{NODE}>))"
     step = f"if(size(acc.f) = 0, acc, named_struct('f', cast({children} as array<{NODE}>), 'o', concat(acc.o, {here})))"
-    return f"case when try_parse_json({text}) is not null then aggregate({depth}, {start}, (acc, d) -> {step}, acc -> acc.o) end"
+    walk = f"aggregate({depth}, {start}, (acc, d) -> {step}, acc -> acc.o)"
+    return f"transform(array({_parsed_sql(text)}), __v -> case when __v is not null then {walk} end)[0]"
 
 
 def json_nodes(df: DataFrame, id_column: str, text: str, list_keys: tuple[str, ...] = LIST_KEYS) -> DataFrame:
@@ -62,9 +82,12 @@ def json_nodes(df: DataFrame, id_column: str, text: str, list_keys: tuple[str, .
     (path of the nearest enclosing element object, else ``$``), ``collection``
     (the key its array stands under) and ``v`` (the object). Under
     ``list_keys`` a lone object is an array of one and a text holding JSON is
-    that JSON. Null, blank and unparseable texts have no nodes. The depth is
-    that of the text itself, without a limit.
+    that JSON. Null, blank and unparseable texts have no nodes, nor have texts
+    with anything behind the JSON. Of a repeated key the last value counts; the
+    session is set to allow them. The walk is as deep as the text, which the
+    parser reads up to DEEPEST levels; a deeper text has no nodes.
     """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     rows = df.select(F.col(id_column).alias("record_id"), F.col(text).alias("__text"))
     nodes = rows.select("record_id", F.expr(_nodes_sql("__text", list_keys)).alias("nodes"))
     return nodes

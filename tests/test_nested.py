@@ -1,6 +1,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from labelloom.operators import nested
 from labelloom.queries.problems import p7_found
 
@@ -55,6 +57,27 @@ def test_random_against_brute_force(spark):
         assert sorted(got.get(i, [])) == sorted(want), t
 
 
+def test_repeated_keys_trailing_text_and_depth(spark):
+    deep = lambda n: "[" * (n - 3) + '{"a":[{}]}' + "]" * (n - 3)
+    wide = '{"a":[' + ",".join(["{}"] * 1200) + "]}"
+    cases = [
+        ('{"labels":[{}],"labels":[{"x":1},{"y":"]"}]}', 2),
+        (' {"labels":"[{},{}]"}\n', 2),
+        ('{"labels":"[{}] x"}', None),
+        *[('{"labels":[{}]}' + after, None) for after in (" x", "]", "}", ", {}", "{}", ',"w":1')],
+        (wide, 1200),
+        (wide + " x", None),
+        (wide + wide, None),
+        *[(deep(n), 2) for n in (998, 999, nested.DEEPEST)],
+        (deep(nested.DEEPEST) + " x", None),
+        (deep(nested.DEEPEST) + "[]", None),
+        (deep(nested.DEEPEST + 1), None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "record_id bigint, t string")
+    got = {r.record_id: r.n for r in nested.links(nested.json_nodes(df, "record_id", "t")).groupBy("record_id").agg(F.count("*").alias("n")).collect()}
+    assert [got.get(i) for i in range(len(cases))] == [n for _, n in cases]
+
+
 def test_table(spark):
     text = '{"labels":[null,{"rxcui":"1","spl_chunks":"[{\\"text\\":\\"a\\",\\"chunk_index\\":3},{\\"text\\":{}}]"}]}'
     nodes = nested.json_nodes(spark.createDataFrame([(7, text)], "id bigint, t string"), "id", "t")
