@@ -118,10 +118,17 @@ class Shard:
         return rows
 
     def near(self, item: list[str], terms: int, need: int, span: int, counts: dict[str, int]) -> dict[int, int]:
-        """Rows in which at least ``need`` of the item's ``terms`` rarest terms lie within ``span`` words, with the most found."""
-        rare = sorted(set(item), key=lambda w: (counts.get(w, 0), w))[:terms]
+        """Rows in which at least ``need`` of the item's ``terms`` rarest terms lie close together, with the most found.
+
+        Rarest of those that the corpus holds; an item of fewer different words
+        needs as large a share of them. Close is ``span`` words, or the item's
+        own length and a quarter if that is more.
+        """
+        need = -(-need * min(terms, len(set(item))) // terms)
+        span = max(span, 5 * len(item) // 4)
+        rare = sorted((w for w in set(item) if counts.get(w)), key=lambda w: (counts[w], w))[:terms]
         lists = [(i, self.keys[w]) for i, w in enumerate(rare) if w in self.keys]
-        if len(lists) < need:
+        if not lists or len(lists) < need:
             return {}
         keys = np.concatenate([k for _, k in lists])
         names = np.concatenate([np.full(len(k), i) for i, k in lists])
@@ -178,9 +185,9 @@ def shared_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
 
 
 def near_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", terms: int = 12, need: int = 9, span: int = 40, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, item_id and n_terms: at least ``need`` of the item's ``terms`` rarest words lie within ``span`` words of the document.
+    """doc_id, item_id and n_terms: at least ``need`` of the item's ``terms`` rarest words in the corpus lie within ``span`` words of the document, or within the item's length and a quarter if that is more.
 
-    Finds passages that were altered here and there. Nulls and empty texts as in ``shared_passages``.
+    An item of fewer than ``terms`` different words needs as large a share of them. Finds passages that were altered here and there. Nulls and empty texts as in ``shared_passages``.
     """
     found = []
     for block in _blocks(items, item_id, item_text, block_items):

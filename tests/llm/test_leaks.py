@@ -47,6 +47,16 @@ def test_near(spark):
     assert [(r.doc_id, r.item_id, r.n_terms) for r in got] == [(1, 7, 6)]
 
 
+def test_near_long_short_and_absent(spark):
+    long = [f"u{i // 50}" if i % 50 == 0 else f"c{i % 7}" for i in range(600)]
+    altered = " ".join(w for i, w in enumerate(long) if i % 25 != 5)
+    absent = "not1 not2 not3 not4 " + " ".join(f"k{i}" for i in range(20))
+    docs = [(1, "x y " + " ".join(long) + " z"), (2, altered), (3, " ".join(w + " y" * 400 for w in long[::50])), (4, " ".join(f"k{i}" for i in range(20))), (5, "a b c"), (6, "a b"), (7, "only one")]
+    items = [(1, " ".join(long)), (2, absent), (3, "a b c"), (4, "nothing of this is held")]
+    got = leaks.near_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_terms) for r in got) == [(1, 1, 12), (2, 1, 12), (4, 2, 12), (5, 3, 3)]
+
+
 def test_no_rows(spark):
     docs, items = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([(1, "a " * 20)], "item_id bigint, text string")
     assert leaks.shared_passages(docs, items).count() == 0
