@@ -66,8 +66,8 @@ def _sql(text: str, steps: tuple[tuple[str, str], ...], duck: bool) -> str:
 
 def written_text(text: str, value: str, unit: str, duck: bool = False) -> str:
     """SQL of the text that decides: the text if it isn't blank, else value and unit."""
-    number = f"cast(cast({value} as decimal(24, 6)) as {'varchar' if duck else 'string'})"
-    return f"case when length(trim({text})) > 0 then {text} when {value} >= 0 and {value} < 1e12 then concat({number}, ' ', {unit}) end"
+    number = f"cast(try_cast({value} as decimal(24, 6)) as {'varchar' if duck else 'string'})"
+    return f"case when length(trim({text})) > 0 then {text} when {value} >= 0 then {number} || ' ' || {unit} end"
 
 
 def clean_sql(text: str, duck: bool = False) -> str:
@@ -93,16 +93,18 @@ def normalize_quantities(df: DataFrame, text: str, value: str, unit: str, defaul
     percent (``proportion``), events over person-time in events per 1,000
     patient-years (``rate``). Texts that state no single such number (ranges,
     bounds, bare counts, words, doses), shares above 100 %, a zero
-    denominator, null and overlong texts give nulls. Rows are neither dropped
-    nor added; extra columns pass through, working columns start with ``__q_``.
+    denominator and null texts give nulls, and so do numbers that a column
+    can't hold: more than 18 digits before the point, or a ``value_e4`` beyond
+    a bigint. Texts may be of any length. Rows are neither dropped nor added;
+    extra columns pass through, working columns start with ``__q_``.
     """
     unit_sql = f"coalesce(nullif(trim({unit}), ''), {'null' if default_unit is None else repr(default_unit)})"
     df = df.withColumn("__q_text", F.expr(written_text(text, value, unit_sql)))
-    df = df.withColumn("__q_text", F.expr(f"case when length(__q_text) <= 300 then {clean_sql('__q_text')} end"))
+    df = df.withColumn("__q_text", F.expr(clean_sql("__q_text")))
     df = df.withColumns({"__q_form": F.expr(form_sql("__q_text")), "__q_n": F.expr(f"regexp_extract_all(__q_text, '{NUMBER.replace(chr(92), chr(92) * 2)}', 0)")})
     df = df.join(F.broadcast(alias_table(df.sparkSession)), F.col("__q_form") == F.col("q_form"), "left")
     df = df.withColumns({"__q_a": F.expr(scaled_sql("get(__q_n, 0)")), "__q_b": F.expr(f"case when size(__q_n) > 1 then {scaled_sql('get(__q_n, 1)')} else cast(1000000 as decimal(36, 0)) end")})
-    e4 = F.expr("case when __q_b > 0 then cast((2 * (__q_a * q_factor) + __q_b) div (2 * __q_b) as bigint) + q_offset end")
+    e4 = F.expr("case when __q_b > 0 then try_cast(try_divide(2 * try_multiply(__q_a, q_factor) + __q_b - try_mod(2 * try_multiply(__q_a, q_factor) + __q_b, 2 * __q_b), 2 * __q_b) as bigint) + q_offset end")
     df = df.withColumn("value_e4", F.when(F.col("q_quantity").isNotNull(), e4))
     df = df.withColumn("value_e4", F.expr("case when q_quantity = 'rate' or value_e4 <= 1000000 then value_e4 end"))
     df = df.withColumn("quantity", F.expr("case when value_e4 is not null then q_quantity end"))
@@ -115,8 +117,8 @@ def found_sql() -> str:
     return f"""
     with a(form, quantity, factor) as (values {rows}),
     t as (select item_id, {written_text('frequency_text', 'frequency_value', "nullif(trim(frequency_unit), '')", True)} x from evidence_item),
-    c as (select item_id, {clean_sql('x', True)} x from t where length(x) <= 300),
+    c as (select item_id, {clean_sql('x', True)} x from t),
     f as (select item_id, {form_sql('x', True)} form, regexp_extract_all(x, '{NUMBER}') n from c),
     v as (select item_id, quantity, factor, {scaled_sql('n[1]', True)} x, case when len(n) > 1 then {scaled_sql('n[2]', True)} else 1000000 end y from f join a using (form)),
-    w as (select item_id, quantity, cast((2 * (x::hugeint * factor) + y::hugeint) // (2 * y::hugeint) as bigint) value_e4 from v where y > 0)
-    select item_id, quantity, value_e4 from w where quantity = 'rate' or value_e4 <= 1000000"""
+    w as (select item_id, quantity, try_cast((2 * (x::hugeint * factor) + y::hugeint) // (2 * y::hugeint) as bigint) value_e4 from v where y > 0)
+    select item_id, quantity, value_e4 from w where value_e4 <= case quantity when 'rate' then 9223372036854775807 else 1000000 end"""

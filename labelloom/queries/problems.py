@@ -70,9 +70,31 @@ select chunk_id record_id, array_to_string(s[1:i], '/') parent_path, array_to_st
   case when starts_with(s[i+1], 'subsection') then nullif(t[len(list_filter(s[1:i+1], lambda z: starts_with(z, 'subsection')))], '') end title from r"""
 
 
+# The same moments by DuckDB's own date formats and zone functions.
+P2_FORMATS = ["%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d", "%Y/%m/%d", "%Y%m%d%H%M%S", "%Y%m%d%H%M", "%Y%m%d", "%d.%m.%Y %H:%M:%S", "%d.%m.%Y", "%d-%m-%Y", "%d-%b-%Y", "%d %B %Y", "%B %d, %Y", "%b %d, %Y", "%b %d, %Y %I:%M:%S %p", "%a, %d %b %Y %H:%M:%S"]
+P2_NUMERIC = ["{0} %I:%M:%S %p", "{0} %H:%M:%S", "{0}"]
+P2_ABBREVIATIONS = {"UTC": 0, "GMT": 0, "BST": 60, "CET": 60, "CEST": 120, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "IST": 330, "JST": 540, "AEST": 600, "AEDT": 660}
+_formats = lambda day: "[" + ", ".join(f"'{f}'" for f in [f.format(day) for f in P2_NUMERIC] + P2_FORMATS) + "]"
+P2_MOMENTS = f"""r as (select 'label_chunk' source_table, chunk_id record_id, trim(effective_time) t, source_zone z, feed from label_chunk union all select 'gold_case', case_no, trim(fixed_spl_effective_time), source_zone, feed from gold_case),
+a as (select *, case when regexp_matches(t, '[+-][0-9]{{2}}:?[0-9]{{2}}$') and regexp_matches(t, '(:[0-9]{{2}}([.][0-9]+)?|^[0-9]{{12,14}}) ?[+-][0-9:]+$') then regexp_extract(t, '([+-][0-9:]+)$', 1) end shift,
+  nullif(regexp_extract(t, '([A-Za-z]+/[A-Za-z_/]+)$', 1), '') region, case when t like '%Z' then 'UTC' else nullif(regexp_extract(t, '[0-9] ([A-Z]{{3,4}})$', 1), '') end abbr from r),
+b as (select *, trim(regexp_replace(regexp_replace(t, ' ?([+-][0-9]{{2}}:?[0-9]{{2}}|[A-Za-z]+/[A-Za-z_/]+)$', case when shift is null and region is null then '\\0' else '' end), '([0-9])(Z| [A-Z]{{3,4}})$', '\\1')) w from a),
+c as (select *, case when feed = 'us_portal' then try_strptime(regexp_replace(w, '([.][0-9]+)$', case when w like '%:%' then '' else '\\0' end), {_formats("%m/%d/%Y")}) else try_strptime(regexp_replace(w, '([.][0-9]+)$', case when w like '%:%' then '' else '\\0' end), {_formats("%d/%m/%Y")}) end wall,
+  coalesce(region, nullif(trim(z), ''), 'UTC') zone, coalesce(map {{{", ".join(f"'{k}': {v}" for k, v in P2_ABBREVIATIONS.items())}}}[abbr],
+    case when shift is not null then (case when shift like '-%' then -1 else 1 end) * (60 * shift[2:3]::int + right(shift, 2)::int) end) off_min from b),
+d as (select *, timezone(zone, wall) u from c),
+m as (select source_table, record_id, case when regexp_matches(t, '^[0-9]{{10}}$') then t::bigint when regexp_matches(t, '^[0-9]{{13}}$') then t::bigint // 1000 when off_min is not null then epoch_ms(wall) // 1000 - 60 * off_min
+  when timezone(zone, u - interval 1 hour) = wall then epoch_ms(u) // 1000 - 3600 when timezone(zone, u - interval 30 minute) = wall then epoch_ms(u) // 1000 - 1800 else epoch_ms(u) // 1000 end epoch_s from d)"""
+P2_SQL = f"with {P2_MOMENTS} select * from m where epoch_s is not null"
+P1_SQL = f"""with {P2_MOMENTS}, s as (select lower(set_id) set_id, retrieved_at, min((try_cast(regexp_replace(lower(trim(version)), '^(version|v) ?|[.]0+$', '', 'g') as bigint), epoch_s)) state from label_chunk join m on source_table = 'label_chunk' and record_id = chunk_id
+  where epoch_s is not null and try_cast(regexp_replace(lower(trim(version)), '^(version|v) ?|[.]0+$', '', 'g') as bigint) is not null group by all),
+l as (select *, lag(state) over (partition by set_id order by retrieved_at) before from s), k as (select * from l where before is distinct from state)
+select set_id, state[1] version_no, strftime(retrieved_at, '%Y-%m-%d %H:%M:%S') valid_from, coalesce(strftime(lead(retrieved_at) over (partition by set_id order by retrieved_at), '%Y-%m-%d %H:%M:%S'), '{FOREVER}') valid_to from k"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_chunks": p7_chunks, "p7_sections": p7_sections}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": quantities.found_sql(), "p7_sections": P7_SECTIONS_SQL}
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_found": quantities.found_sql(), "p7_sections": P7_SECTIONS_SQL}

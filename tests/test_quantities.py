@@ -44,6 +44,15 @@ CASES = [
     ("not reported", 5.0, "percent", None, None),
     ("", None, None, None, None),
     ("7" * 100_000, None, None, None, None),
+    ("1" + ",234" * 50_000 + " of 3", None, None, None, None),
+    ("(" * 50_000 + "5%", None, None, None, None),
+    ("5" + " " * 100_000 + "%" + "\t" * 500, None, None, P, 50000),
+    ("approximately " + "\u00a0" * 400 + "2.5 % of patients", None, None, P, 25000),
+    (None, 2e12, "per 1000 patient-years", R, 20000000000000000),
+    (None, 9e17, "per 1000 patient-years", None, None),
+    (None, float("inf"), "percent", None, None),
+    ("123456789012345678 per 1000 PY", None, None, None, None),
+    ("900000000000 of 900000000000 patients", None, None, P, 1000000),
     (None, None, None, None, None),
 ]
 
