@@ -32,40 +32,38 @@ def spans(text: str) -> str:
 
 
 def role(s: str, term: str | None = None) -> str:
-    """SQL of a span's role; rules in order, the first that holds wins."""
-    people = r"(?:patients?|subjects?|participants?)"
+    """SQL of a span's role; rules in order, the first that holds wins.
+
+    Each rule looks at the number and so many characters before and after it,
+    in its clause (``cb``, ``ca``) or in the whole text.
+    """
+    w = R.WINDOWS
+    before, after = (lambda n: f"right({s}.cb, {w[n]})"), (lambda n: f"left({s}.ca, {w[n]})")
+    around = lambda left, right: f"concat({before(left)}, {s}.m, {after(right)})"
+    wide = lambda right: f"concat(right({s}.before, {w['pressure']}), {s}.m, left({s}.after, {w[right]}))"
     population = has(f"{s}.m", R.POPULATION_RATIO)
     ratio = f"({s}.m like '%/%' and not {population})"
-    strength = (
-        f"{s}.m like '%\\%%' and (" + has(f"{s}.cb", rf"\b{R.DOSAGE_FORM}\b(?:\s*,)?\s*(?:contains?\s+)?$") + " or " + has(f"{s}.ca", rf"^\s*(?:[a-z][a-z0-9-]*\s+){{0,3}}{R.DOSAGE_FORM}\b")
-        + " or " + has(f"{s}.ca", r"^\s*(?:of\s+)?(?:active\s+ingredient|sodium\s+chloride|dextrose|lipid\s+emulsion)\b") + " or " + has(f"right({s}.cb, 50)", R.COMPOSITION) + ")"
-    ).replace("'%\\%%'", "'%\\\\%%'")
-    pressure = f"{ratio} and " + has(f"concat(right({s}.before, 80), {s}.m, left({s}.after, 80))", R.BLOOD_PRESSURE)
-    vital = has(f"concat(right({s}.cb, 70), {s}.m, left({s}.ca, 25))", R.LAB_OR_VITAL)
-    dose = (
-        f"not {population} and ({ratio} and " + has(f"concat(right({s}.before, 80), {s}.m, left({s}.after, 40))", R.DOSE_CONTEXT)
-        + " or " + has(f"concat(right({s}.cb, 45), {s}.m, left({s}.ca, 45))", R.ADMINISTERED) + ")"
-    )
-    sample = (
-        has(f"{s}.m", rf"\b{people}\b") + " and case when " + has(f"left({s}.ca, 45)", r"^\s*,\s*\d[\d,]*\s+(?:developed|experienced|reported|had)\b") + " then true when " + has(f"left({s}.ca, 45)", R.OUTCOME)
-        + " then false else " + has(f"right({s}.cb, 55)", R.SAMPLE_CUE) + " or " + has(f"left({s}.ca, 45)", r"\breceived\b") + " end"
-    )
-    comparator = has(f"right({s}.cb, 35)", rf"\b{R.COMPARATOR}\b[^%]{{0,24}}$") + " or " + has(f"left({s}.ca, 35)", rf"^\s*(?:with\s+)?\b{R.COMPARATOR}\b")
-    relation = [
-        has(f"{s}.m", r"\b(?:cases?|events?)\s+per\b"),
-        has(f"{s}.m", r"\b\d+\s+of\s+\d[\d,]*\s+patients?\b"),
-        population,
-        has(f"{s}.ca", rf"^\s+of\s+(?:treated\s+)?{people}\b"),
-        has(f"right({s}.cb, 100)", R.FREQUENCY_CUE),
-        has(f"left({s}.ca, 55)", R.OUTCOME),
-    ]
+    strength = f"contains({s}.m, '%') and ({has(f'{s}.cb', R.STRENGTH_BEFORE)} or {has(f'{s}.ca', R.STRENGTH_AFTER)} or {has(f'{s}.ca', R.COMPOSITION_AFTER)} or {has(before('composition'), R.COMPOSITION)})"
+    pressure = f"{ratio} and {has(wide('pressure'), R.BLOOD_PRESSURE)}"
+    vital = has(around("vital_before", "vital_after"), R.LAB_OR_VITAL)
+    dose = f"not {population} and ({ratio} and {has(wide('ratio_after'), R.DOSE_CONTEXT)} or {has(around('dose', 'dose'), R.ADMINISTERED)})"
+    enrolled = f"{has(before('sample_before'), R.SAMPLE_CUE)} or {has(after('sample_after'), R.RECEIVED)}"
+    sample = f"{has(f'{s}.m', rf'\b{R.PEOPLE}\b')} and case when {has(after('sample_after'), R.SAMPLE_THEN_COUNT)} then true when {has(after('sample_after'), R.OUTCOME)} then false else {enrolled} end"
+    comparator = f"{has(before('comparator'), R.COMPARATOR_BEFORE)} or {has(after('comparator'), R.COMPARATOR_AFTER)}"
+    relation = [has(f"{s}.m", R.CASES_PER_CUE), has(f"{s}.m", R.OF_PATIENTS_CUE), population, has(f"{s}.ca", R.OF_PEOPLE_AFTER), has(before("cue_before"), R.FREQUENCY_CUE), has(after("outcome_after"), R.OUTCOME)]
     if term:
-        relation += [f"right({s}.cb, 80) rlike {term_pattern(term)}", f"left({s}.ca, 80) rlike {term_pattern(term)}"]
-    words = ", ".join(lit(w) for w in (*R.QUALITATIVE, "frequency cannot be estimated"))
-    return (
-        f"case when lower({s}.m) in ({words}) then 'event_frequency' when {strength} then 'product_strength' when {pressure} or {vital} then 'laboratory_or_vital_value'"
-        f" when {dose} then 'administered_dose' when {sample} then 'sample_size' when {comparator} then 'comparator_frequency' when {' or '.join(relation)} then 'event_frequency' else 'ambiguous_numeric_value' end"
-    )
+        relation += [f"{before('event')} rlike {term_pattern(term)}", f"{after('event')} rlike {term_pattern(term)}"]
+    words = ", ".join(lit(v) for v in (*R.QUALITATIVE, R.UNKNOWN_FREQUENCY))
+    rules = [
+        (f"lower({s}.m) in ({words})", "event_frequency"),
+        (strength, "product_strength"),
+        (f"{pressure} or {vital}", "laboratory_or_vital_value"),
+        (dose, "administered_dose"),
+        (sample, "sample_size"),
+        (comparator, "comparator_frequency"),
+        (" or ".join(relation), "event_frequency"),
+    ]
+    return "case " + " ".join(f"when {rule} then '{name}'" for rule, name in rules) + " else 'ambiguous_numeric_value' end"
 
 
 def qualitative_applies(text: str, s: str, term: str | None) -> str:
@@ -86,25 +84,21 @@ def frequencies(text: str, term: str | None = None) -> str:
 
 
 def parts(f: str) -> str:
-    """SQL of struct(value, unit) of a frequency text; rules in order."""
-    words = "|".join(R.NUMBER_WORDS)
+    """SQL of struct(value, unit) of a frequency text; forms in order."""
     group = lambda p, i: f"regexp_extract({f}, {pattern(p)}, {i})"
-    percent, of = r"(\d+(?:\.\d+)?)\s*%", r"(\d+)\s+of\s+(\d[\d,]*)\s+patients?"
-    per = rf"(\d+|{words})\s+(?:cases?|events?)\s+per\s+(\d[\d,]*)\s+(patient-years?|person-years?|patients?)"
-    count = r"^\s*(\d[\d,]*)\s+((?:treated\s+)?(?:patients?|subjects?|participants?))\s*$"
-    ratio = r"(\d+(?:\.\d+)?)\s*/\s*(\d[\d,]*(?:\.\d+)?)(?:\s+(treated\s+patients?|patients?|subjects?|cases?))?"
-    number = f"coalesce(nullif(array_position(array({', '.join(lit(w) for w in R.NUMBER_WORDS)}), lower({group(per, 1)})), 0), try_cast({group(per, 1)} as bigint))"
+    number = f"coalesce(nullif(array_position(array({', '.join(lit(w) for w in R.NUMBER_WORDS)}), lower({group(R.CASES_PER, 1)})), 0), try_cast({group(R.CASES_PER, 1)} as bigint))"
     # wide digits count as digits, too
     out = lambda value, unit: f"named_struct('value', try_cast(translate({value}, '０１２３４５６７８９', '0123456789') as double), 'unit', {unit})"
-    quality = ", ".join(lit(w) for w in (*R.QUALITATIVE, "frequency cannot be estimated"))
-    return (
-        f"case when {has(f, percent)} then {out(group(percent, 1), lit('percent'))}"
-        f" when {has(f, of)} then {out(group(of, 1), f"concat('of ', {group(of, 2)}, ' patients')")}"
-        f" when {has(f, per)} then {out(number, f"concat('per ', {group(per, 2)}, ' ', {group(per, 3)})")}"
-        f" when {has(f, count)} then {out(f"replace({group(count, 1)}, ',', '')", group(count, 2))}"
-        f" when {has(f, ratio)} then {out(group(ratio, 1), f"rtrim(concat('per ', {group(ratio, 2)}, ' ', {group(ratio, 3)}))")}"
-        f" when lower({f}) in ({quality}) then {out('cast(null as string)', lit('qualitative'))} else {out('cast(null as string)', 'cast(null as string)')} end"
-    )
+    forms = [
+        (R.PERCENT, group(R.PERCENT, 1), lit("percent")),
+        (R.OF_PATIENTS, group(R.OF_PATIENTS, 1), f"concat('of ', {group(R.OF_PATIENTS, 2)}, ' patients')"),
+        (R.CASES_PER, number, f"concat('per ', {group(R.CASES_PER, 2)}, ' ', {group(R.CASES_PER, 3)})"),
+        (R.COUNT_ONLY, f"replace({group(R.COUNT_ONLY, 1)}, ',', '')", group(R.COUNT_ONLY, 2)),
+        (R.RATIO, group(R.RATIO, 1), f"rtrim(concat('per ', {group(R.RATIO, 2)}, ' ', {group(R.RATIO, 3)}))"),
+    ]
+    quality = ", ".join(lit(w) for w in (*R.QUALITATIVE, R.UNKNOWN_FREQUENCY))
+    legs = " ".join(f"when {has(f, p)} then {out(value, unit)}" for p, value, unit in forms)
+    return f"case {legs} when lower({f}) in ({quality}) then {out('cast(null as string)', lit('qualitative'))} else {out('cast(null as string)', 'cast(null as string)')} end"
 
 
 def comparator_name(header: str) -> str:
@@ -121,11 +115,10 @@ def header_matches(header: str, names: str) -> str:
 
 def cell_frequency(header: str, cell: str) -> str:
     """SQL of the frequency that a table cell states, or null."""
-    clean = collapse(cell)
-    declared = has(header, r"\(\s*%\s*\)|\bpercent(?:age)?\b")
+    clean, dashes = collapse(cell), ", ".join(lit(d) for d in R.CELL_DASHES)
     return (
-        f"case when {has(clean, r'^[<>]?\d+(?:\.\d+)?\s*%$')} then {clean} when size({frequencies(cell)}) > 0 then {frequencies(cell)}[0]"
-        f" when {clean} in ('-', '—', '–') then {clean} when {declared} and {has(clean, r'^[<>]?\d+(?:\.\d+)?$')} then concat({clean}, '%') end"
+        f"case when {has(clean, R.CELL_PERCENT)} then {clean} when size({frequencies(cell)}) > 0 then {frequencies(cell)}[0]"
+        f" when {clean} in ({dashes}) then {clean} when {has(header, R.HEADER_PERCENT)} and {has(clean, R.CELL_NUMBER)} then concat({clean}, '%') end"
     )
 
 
@@ -147,24 +140,21 @@ def table_variants(headers: str, cells: str, names: str) -> str:
 
 def text_comparator(text: str) -> str:
     """SQL of the comparator that a text states, or null."""
-    forward = r"\b(placebo|comparator|control)\b[^.;|]{0,80}?(\d+(?:\.\d+)?\s*%|\d+\s*/\s*\d[\d,]*|-)"
-    value = f"regexp_extract(q.m, {pattern(forward)}, 2)"
-    span = f"{span_of(text, 'v', 'q.at + length(q.m) - length(v)')}"
+    forward, reverse, often = pattern(R.COMPARATOR_THEN_VALUE), pattern(R.VERSUS_VALUE), pattern(R.MORE_OFTEN_WITH)
+    value = f"regexp_extract(q.m, {forward}, 2)"
+    span = span_of(text, "v", "q.at + length(q.m) - length(v)")
     holds = f"transform(array({value}), v -> v = '-' or transform(array({span}), s -> {role('s')} = 'comparator_frequency')[0])[0]"
-    hit = f"filter({places(text, pattern(forward))}, q -> {holds})"
-    first = f"transform({hit}, q -> concat(initcap(regexp_extract(q.m, {pattern(forward)}, 1)), ': ', {collapse(value)}))"
-    reverse = r"\bversus\s+(\d+(?:\.\d+)?\s*%)\s+with\s+(placebo|comparator|control)\b"
-    often = r"\bmore\s+(?:often|frequently)\s+with\s+(placebo|comparator|control)\b"
+    first = f"transform(filter({places(text, forward)}, q -> {holds}), q -> concat(initcap(regexp_extract(q.m, {forward}, 1)), ': ', {collapse(value)}))"
     return (
-        f"coalesce(get({first}, 0), case when {has(text, reverse)} then concat(initcap(regexp_extract({text}, {pattern(reverse)}, 2)), ' ', regexp_replace(regexp_extract({text}, {pattern(reverse)}, 1), '\\\\s', ''))"
-        f" when {has(text, often)} then concat(initcap(regexp_extract({text}, {pattern(often)}, 1)), ' (frequency not stated)') end)"
+        f"coalesce(get({first}, 0), case when {text} rlike {reverse} then concat(initcap(regexp_extract({text}, {reverse}, 2)), ' ', regexp_replace(regexp_extract({text}, {reverse}, 1), '\\\\s', ''))"
+        f" when {text} rlike {often} then concat(initcap(regexp_extract({text}, {often}, 1)), ' (frequency not stated)') end)"
     )
 
 
 def text_variants(text: str, comparator: str) -> str:
     """SQL of one variant per share of a named population in a text."""
-    share = rf"((?:approximately|about)?\s*\d+(?:\.\d+)?\s*%)\s+of\s+({R.TEXT_POPULATION})"
-    zipped = f"zip_with(regexp_extract_all({text}, {pattern(share)}, 1), regexp_extract_all({text}, {pattern(share)}, 2), (f, p) -> named_struct('f', f, 'p', p))"
+    share = pattern(R.SHARE_OF_POPULATION)
+    zipped = f"zip_with(regexp_extract_all({text}, {share}, 1), regexp_extract_all({text}, {share}, 2), (f, p) -> named_struct('f', f, 'p', p))"
     f = collapse("x.f")
     return f"transform({zipped}, x -> named_struct('frequency_text', {f}, 'value', {parts(f)}.value, 'unit', {parts(f)}.unit, 'comparator_text', {comparator}, 'population', array({collapse('x.p')})))"
 

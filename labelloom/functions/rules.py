@@ -52,7 +52,19 @@ INTERACTIONS = (
     r"\bwith the combination of\b",
     r"\b(?:the\s+)?risk\s+(?:is\s+)?increased with\b",
 )
-CORE_INTERACTIONS = tuple(p for i, p in enumerate(INTERACTIONS) if i not in (4, 9, 10))
+CORE_INTERACTIONS = (
+    r"\bconcomitant use\b",
+    r"\bconcomitant\s+[a-z0-9-]+\b",
+    r"\bcoadministration\b",
+    r"\bwhen combined with\b",
+    r"\bwith CYP(?:\d\w*)? inhibitors?\b",
+    r"\bwith MAOIs?\b",
+    r"\bwith other serotonergic drugs?\b",
+    r"\bpatients taking\b[^.]{0,100}\band a drug\b",
+    r"\bconcomitantly with\b",
+    r"\bwith the combination of\b",
+    r"\b(?:the\s+)?risk\s+(?:is\s+)?increased with\b",
+)
 POPULATIONS = (
     r"\belderly patients?\b",
     r"\bpediatric patients?\b",
@@ -120,9 +132,38 @@ LAB_OR_VITAL = (
 COMPOSITION = r"\b(?:sodium\s+chloride|dextrose|lipid\s+emulsion|active\s+ingredient)\b"
 ADMINISTERED = r"\b(?:received|administered|treated\s+with|dose(?:d)?|dosage|titrated|infusion)\b[^.;]{0,30}\b\d+(?:\.\d+)?\s*(?:mg|mcg|micrograms?|g|units?|mEq|mmol)\b"
 COMPARATOR = r"(?:placebo|active[ -]control|comparator|control)"
+PEOPLE = r"(?:patients?|subjects?|participants?)"
+# What stands before or after a number and gives it a role, and how far it is looked for.
+STRENGTH_BEFORE = rf"\b{DOSAGE_FORM}\b(?:\s*,)?\s*(?:contains?\s+)?$"
+STRENGTH_AFTER = rf"^\s*(?:[a-z][a-z0-9-]*\s+){{0,3}}{DOSAGE_FORM}\b"
+COMPOSITION_AFTER = r"^\s*(?:of\s+)?(?:active\s+ingredient|sodium\s+chloride|dextrose|lipid\s+emulsion)\b"
+SAMPLE_THEN_COUNT = r"^\s*,\s*\d[\d,]*\s+(?:developed|experienced|reported|had)\b"
+RECEIVED = r"\breceived\b"
+COMPARATOR_BEFORE = rf"\b{COMPARATOR}\b[^%]{{0,24}}$"
+COMPARATOR_AFTER = rf"^\s*(?:with\s+)?\b{COMPARATOR}\b"
+CASES_PER_CUE = r"\b(?:cases?|events?)\s+per\b"
+OF_PATIENTS_CUE = r"\b\d+\s+of\s+\d[\d,]*\s+patients?\b"
+OF_PEOPLE_AFTER = rf"^\s+of\s+(?:treated\s+)?{PEOPLE}\b"
+WINDOWS = {"composition": 50, "pressure": 80, "vital_before": 70, "vital_after": 25, "ratio_after": 40, "dose": 45, "sample_before": 55, "sample_after": 45, "comparator": 35, "cue_before": 100, "outcome_after": 55, "event": 80}
+# Forms of a frequency text, with the groups of value and unit.
+PERCENT = r"(\d+(?:\.\d+)?)\s*%"
+OF_PATIENTS = r"(\d+)\s+of\s+(\d[\d,]*)\s+patients?"
+CASES_PER = r"(\d+|one|two|three|four|five|six|seven|eight|nine|ten)\s+(?:cases?|events?)\s+per\s+(\d[\d,]*)\s+(patient-years?|person-years?|patients?)"
+COUNT_ONLY = r"^\s*(\d[\d,]*)\s+((?:treated\s+)?(?:patients?|subjects?|participants?))\s*$"
+RATIO = r"(\d+(?:\.\d+)?)\s*/\s*(\d[\d,]*(?:\.\d+)?)(?:\s+(treated\s+patients?|patients?|subjects?|cases?))?"
+UNKNOWN_FREQUENCY = "frequency cannot be estimated"
+# Forms of table cells and headers, and of comparators in text.
+CELL_PERCENT = r"^[<>]?\d+(?:\.\d+)?\s*%$"
+CELL_NUMBER = r"^[<>]?\d+(?:\.\d+)?$"
+CELL_DASHES = ("-", "—", "–")
+HEADER_PERCENT = r"\(\s*%\s*\)|\bpercent(?:age)?\b"
+COMPARATOR_THEN_VALUE = r"\b(placebo|comparator|control)\b[^.;|]{0,80}?(\d+(?:\.\d+)?\s*%|\d+\s*/\s*\d[\d,]*|-)"
+VERSUS_VALUE = r"\bversus\s+(\d+(?:\.\d+)?\s*%)\s+with\s+(placebo|comparator|control)\b"
+MORE_OFTEN_WITH = r"\bmore\s+(?:often|frequently)\s+with\s+(placebo|comparator|control)\b"
 OUTCOME = r"\b(?:developed|experienced|reported|had)\b"
 HEADER_POPULATION = r"\bHF\b|heart failure|hypertens|patients?|subjects?|pregnan|renal|hepatic|myocardial"
 TEXT_POPULATION = r"(?:elderly|pediatric|hypertensive) (?:patients|subjects)|(?:patients|subjects) with (?:heart failure|myocardial infarction)|patients with (?:renal|hepatic) impairment"
+SHARE_OF_POPULATION = rf"((?:approximately|about)?\s*\d+(?:\.\d+)?\s*%)\s+of\s+({TEXT_POPULATION})"
 HEADER_IGNORED = ("acetate", "besylate", "calcium", "citrate", "dihydrate", "fumarate", "hydrochloride", "hydrate", "maleate", "monohydrate", "phosphate", "sodium", "succinate", "sulfate", "tartrate")
 #: (pattern, name) of comparator columns, first hit wins
 COMPARATOR_NAMES = ((r"\bactive[ -]control\b", "Active control"), (r"\bplacebo\b", "Placebo"), (r"\bcomparator\b", "Comparator"), (r"\bcontrol\b", "Control"))

@@ -9,10 +9,6 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 STOP = ""  # stands for a full stop that ends no sentence
 
 
@@ -80,30 +76,13 @@ def extract_all(text: str, patterns: tuple[str, ...]) -> str:
     return f"array_distinct(filter(flatten(array({arrays})), m -> length(m) > 0))"
 
 
-def normalize_name(name: str) -> str:
-    """Lower case; dashes, underscores, slashes, commas, plus signs and brackets are spaces; other signs vanish."""
-    out = f"regexp_replace(lower({name}), '[–—]', '-')"
-    out = f"regexp_replace({out}, '[-_/,+()]', ' ')"
-    return collapse(f"regexp_replace({out}, '[^a-z0-9 ]', '')")
-
-
-def normalize_term(term: str) -> str:
-    """Lower case, letters and digits only, single spaces."""
-    return collapse(f"replace(regexp_replace(lower(trim({term})), '[^a-z0-9 -]', ' '), '-', ' ')")
-
-
 def tokens(text: str) -> str:
     """Words of letters a-z and digits in lower case."""
     return f"regexp_extract_all(lower({text}), '[a-z0-9]+', 0)"
 
 
-@F.pandas_udf(T.StringType())
-def fold_characters(text: pd.Series) -> pd.Series:
+def fold_characters(value: str) -> str:
     """Compatibility form in caseless comparison form; letters, digits and % only, single spaces."""
-    return text.map(_fold, na_action="ignore")
-
-
-def _fold(value: str) -> str:
     folded = unicodedata.normalize("NFKC", value).casefold()
     return " ".join("".join(c if c.isalnum() or c == "%" else " " for c in folded).split())
 

@@ -65,7 +65,7 @@ def analyze(drugs: DataFrame, labels: DataFrame, chunks: DataFrame, event: str)
     found = written(extract.items(ready, [plan]), "items")  # merging reads the items twice
     searched = every.select("rxcui").distinct().withColumn("__searched", F.lit(True))
     lacking = drugs.join(searched, "rxcui", "left").filter(F.col("__searched").isNull())
-    event_name = F.lit(plan["normalized_event"])
+    event_name = F.lit(plan.event)
     placeholder = {"normalized_event": event_name, "matched_term": event_name, "evidence_status": F.lit("insufficient_label_data"), "assertion": F.lit("uncertain"), "subject": F.lit("unclear"), "extraction_confidence": F.lit("low"), "postmarketing_only": F.lit(False)}
     columns = [
         (placeholder[f.name] if f.name in placeholder else F.col(f.name) if f.name in ("rxcui", "drug_name") else F.lit("") if f.name == "supporting_quote" else F.array() if f.dataType.typeName() == "array" else F.lit(None)).cast(f.dataType).alias(f.name)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import rules as R
 from labelloom.functions import text as X
-from labelloom.plans.extract import event_plan, folded
+from labelloom.plans.extract import EVENT_OF, event_plan
 from labelloom.plans.rollup import priority
 
 # Orders of preference of a case's primary item.
@@ -42,9 +42,7 @@ def case_terms(query: Column) -> Column:
     terms = lambda direct, searched: F.struct(direct.alias("direct"), searched.alias("searched"))
     array = lambda values: F.array(*[F.lit(v) for v in values])
     own = F.when(F.length(wanted) > 0, F.array(wanted)).otherwise(F.array().cast("array<string>"))
-    known = [folded(t) for event in R.EVENTS.values() for group in event for t in group]
-    plans = {t: event_plan(t) for t in known}
-    table = [c for t, p in plans.items() for c in (F.lit(t), terms(array(p["direct_terms"]), array(dict.fromkeys(p["direct_terms"] + p["related_terms"]))))]
+    table = [c for t in EVENT_OF for c in (F.lit(t), terms(array(event_plan(t).direct), array(event_plan(t).terms)))]
     return F.coalesce(F.try_element_at(F.create_map(*table), wanted), terms(own, own))
 
 

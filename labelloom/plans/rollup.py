@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import rules as R
 from labelloom.functions import text as X
 from labelloom.functions.assertion import section_key
+from labelloom.plans.extract import EventPlan
 
 UNITED = ("evidence_context", "dose_context", "temporal_context", "route_context", "mentioned_in_sections", "source_paths", "chunk_hashes")
 
@@ -63,7 +64,7 @@ def drug_status(drugs: DataFrame, items: DataFrame, keys: list[str]) -> DataFram
     return drugs.join(best, keys, "left").withColumns({"evidence_status": F.coalesce("evidence_status", F.lit("not_found")), "n_items": F.coalesce("n_items", F.lit(0))})
 
 
-def drug_evidence(drugs: DataFrame, labels: DataFrame, items: DataFrame, plan: dict, snippets: int = 10) -> DataFrame:
+def drug_evidence(drugs: DataFrame, labels: DataFrame, items: DataFrame, plan: EventPlan, snippets: int = 10) -> DataFrame:
     """One row per drug: status, sections with evidence, the first ``snippets`` quotes and notes on limits.
 
     ``drugs`` has rxcui, drug_name and rank; ``labels`` one row per rxcui with
@@ -86,10 +87,9 @@ def drug_evidence(drugs: DataFrame, labels: DataFrame, items: DataFrame, plan: d
         F.when(s == "explicit_positive", NOTE_POSITIVE).when(s == "related_but_not_explicit", NOTE_RELATED),
         F.when(s.isin("negated", "historical_or_preexisting", "comparator_only", "not_found", "insufficient_label_data"), ABSENCE),
     ]
-    terms = list(dict.fromkeys([*plan["direct_terms"], *plan["related_terms"]]))
     return df.select(
         "drug_name", "rxcui", F.col("rank").alias("cms_rank"), "selected_spl_set_id", F.coalesce("spl_effective_time", "effective_time").alias("label_effective_time"),
-        F.lit(plan["event_query"]).alias("event_query"), F.array(*[F.lit(t) for t in terms]).cast("array<string>").alias("searched_terms"), "evidence_status", "n_items",
+        F.lit(plan.query).alias("event_query"), F.array(*[F.lit(t) for t in plan.terms]).cast("array<string>").alias("searched_terms"), "evidence_status", "n_items",
         F.coalesce("matched_sections", F.array().cast("array<string>")).alias("matched_sections"), "evidence_snippets",
         F.coalesce("label_match_confidence", F.lit("unavailable")).alias("label_match_confidence"), F.coalesce("extraction_source", F.lit("openfda_fallback")).alias("extraction_source"), "spl_version",
         F.array_distinct(F.filter(F.array(*notes), lambda n: n.isNotNull())).alias("limitations"),

@@ -250,18 +250,14 @@ def parent_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts_sql() -> str:
-    words = "|".join(R.NUMBER_WORDS)
     ex = lambda p, i: f"regexp_extract(frequency_text, '(?i){p}', {i})"
     m = lambda p: f"regexp_matches(frequency_text, '(?i){p}')"
-    percent, of = r"(\d+(?:\.\d+)?)\s*%", r"(\d+)\s+of\s+(\d[\d,]*)\s+patients?"
-    per = rf"(\d+|{words})\s+(?:cases?|events?)\s+per\s+(\d[\d,]*)\s+(patient-years?|person-years?|patients?)"
-    count = r"^\s*(\d[\d,]*)\s+((?:treated\s+)?(?:patients?|subjects?|participants?))\s*$"
-    ratio = r"(\d+(?:\.\d+)?)\s*/\s*(\d[\d,]*(?:\.\d+)?)(?:\s+(treated\s+patients?|patients?|subjects?|cases?))?"
-    number = f"coalesce(nullif(list_position([{', '.join(repr(w) for w in R.NUMBER_WORDS)}], lower({ex(per, 1)})), 0)::double, try_cast({ex(per, 1)} as double))"
-    value = f"case when {m(percent)} then {ex(percent, 1)}::double when {m(of)} then {ex(of, 1)}::double when {m(per)} then {number} when {m(count)} then replace({ex(count, 1)}, ',', '')::double when {m(ratio)} then {ex(ratio, 1)}::double end"
+    words = f"map {{{', '.join(f"'{w}': {i + 1}" for i, w in enumerate(R.NUMBER_WORDS))}}}"
+    number = f"coalesce({words}[lower({ex(R.CASES_PER, 1)})]::double, try_cast({ex(R.CASES_PER, 1)} as double))"
+    value = f"case when {m(R.PERCENT)} then {ex(R.PERCENT, 1)}::double when {m(R.OF_PATIENTS)} then {ex(R.OF_PATIENTS, 1)}::double when {m(R.CASES_PER)} then {number} when {m(R.COUNT_ONLY)} then replace({ex(R.COUNT_ONLY, 1)}, ',', '')::double when {m(R.RATIO)} then {ex(R.RATIO, 1)}::double end"
     unit = (
-        f"case when {m(percent)} then 'percent' when {m(of)} then concat('of ', {ex(of, 2)}, ' patients') when {m(per)} then concat('per ', {ex(per, 2)}, ' ', {ex(per, 3)}) when {m(count)} then {ex(count, 2)}"
-        f" when {m(ratio)} then rtrim(concat('per ', {ex(ratio, 2)}, ' ', {ex(ratio, 3)})) when lower(frequency_text) in ('common', 'uncommon', 'rare', 'rarely', 'frequency cannot be estimated') then 'qualitative' end"
+        f"case when {m(R.PERCENT)} then 'percent' when {m(R.OF_PATIENTS)} then concat('of ', {ex(R.OF_PATIENTS, 2)}, ' patients') when {m(R.CASES_PER)} then concat('per ', {ex(R.CASES_PER, 2)}, ' ', {ex(R.CASES_PER, 3)}) when {m(R.COUNT_ONLY)} then {ex(R.COUNT_ONLY, 2)}"
+        f" when {m(R.RATIO)} then rtrim(concat('per ', {ex(R.RATIO, 2)}, ' ', {ex(R.RATIO, 3)})) when lower(frequency_text) in ('common', 'uncommon', 'rare', 'rarely', 'frequency cannot be estimated') then 'qualitative' end"
     )
     return f"select item_id, {value} as value, {unit} as unit from evidence_item where frequency_text is not null"
 

@@ -31,14 +31,14 @@ def key(item, query):
         "explicit_positive": item["assertion"] == "present" and bool(term),
         "related_but_not_explicit": item["assertion"] == "uncertain" and bool(term),
     }.get(status, True)
-    trace = [quote.strip(), path, item["chunk_hash"] or item["chunk_hashes"], says(*plan["direct_terms"], *plan["related_terms"]), supported]
+    trace = [quote.strip(), path, item["chunk_hash"] or item["chunk_hashes"], says(*plan.terms), supported]
     at = lambda values, v: values.index(v) if v in values else 99
     q = quote.strip()
     whole = q and not (q[0].islower() or q[0] in ")]},;:") and q.count(")") <= q.count("(") and q.count("]") <= q.count("[")
-    direct = any(whole_word(item["drug_name"], c) and any(whole_word(t, c) for t in plan["direct_terms"]) for c in re.split(r"(?<=[.!?;])\s+", quote))
+    direct = any(whole_word(item["drug_name"], c) and any(whole_word(t, c) for t in plan.direct) for c in re.split(r"(?<=[.!?;])\s+", quote))
     numbers = [int(n) for n in re.findall(r"\[(\d+)\]", path)]
     return (
-        at(R.STATUSES, status), term.lower() not in plan["direct_terms"], at(R.CONFIDENCES, item["extraction_confidence"]), at(evaluate.SUBJECTS, item["subject"]),
+        at(R.STATUSES, status), term.lower() not in plan.direct, at(R.CONFIDENCES, item["extraction_confidence"]), at(evaluate.SUBJECTS, item["subject"]),
         min((at(evaluate.CONTEXTS, c) for c in context), default=99), -sum(map(bool, trace)), not whole,
         0 if direct else 2 if status == "interaction_dependent" or item["assertion"] == "conditional" or interaction else 1,
         numbers or [2**63], numbers[-1] if numbers else 2**63, path, item["item_id"],
@@ -73,7 +73,7 @@ def test_terms_of_the_query(spark):
     df = spark.createDataFrame([(q,) for q in queries], "q string")
     for r in df.select("q", evaluate.case_terms(df["q"]).alias("t")).collect():
         plan = event_plan(r.q or "")
-        assert (r.t.direct, r.t.searched) == (plan["direct_terms"], plan["direct_terms"] + plan["related_terms"])
+        assert (r.t.direct, r.t.searched) == (list(plan.direct), plan.terms)
 
 
 def check(spark, sf):
