@@ -1,17 +1,20 @@
 """Languages of documents and of the segments of mixed ones, with a confidence.
 
-Nearest-centroid classification: a segment is a vector of hashed character
+Nearest-centroid classification: a word is a vector of hashed character
 n-grams, weighted by term frequency and by the inverse document frequency over
-the whole corpus, and is compared by cosine with several clustered centroids
-per language. A segment too far from all centroids, or without words, has no
-language.
+the whole corpus; a segment is the sum of its words' vectors over the sum of
+their lengths. Its products with several clustered unit centroids per language
+are the mean cosines of its words, weighted by their lengths; the largest one
+names the language. A segment too far from all centroids, or without words,
+has no language. Since all of this is a sum over words, each distinct word is
+hashed and compared once, however often it occurs.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +36,16 @@ NAMES = {
 }
 #: Buckets of hashed n-grams; labelled rows of a language to learn from; centroids of a language.
 BUCKETS, SAMPLE_ROWS, CENTROIDS = 1 << 15, 120, 4
-#: Cosine below which a segment has no language. What a segment needs to differ from the document's main language: cosine, letters, lead.
-REJECT, NEAR, LEAST_LETTERS, LEAD = 0.07, 0.12, 12, 0.03
+#: Cosine below which a segment has no language. What a segment needs to differ from the document's main language: cosine, lead, letters and different words.
+REJECT, NEAR, LEAD, LEAST_LETTERS, LEAST_WORDS = 0.01, 0.045, 0.03, 12, 5
 GRAMS = (1, 2, 3, 4)
+#: Distinct words a task remembers before it starts again; results don't depend on it.
+REMEMBERED = 200_000
 
 CODE = re.compile(r"\b(?=\w*\d)[\w-]+|\b[A-ZА-Я]{2,}-\d+\b")
 BREAK = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|\n\s*\n|\n(?=\s*[-•*–]\s)|(?<=[:;])\s*\n")
 LETTER = re.compile(r"[^\W\d_]+")
+RUN = re.compile(r"[\w-]+")
 
 
 def label(lang: Column) -> Column:
@@ -56,17 +62,22 @@ def segments(text: str | None) -> list[str]:
     return [s for s in BREAK.split(text) if s and s.strip()] if text else []
 
 
-def plain(text: str) -> str:
-    """Lower-case words separated by single spaces, without codes and numbers."""
-    return " ".join(LETTER.findall(CODE.sub(" ", text).lower()))
+def words_of(run: str) -> list[str]:
+    """The lower-case words of an unbroken run of letters, digits, underscores and hyphens; codes and numbers aren't words."""
+    return [run.lower()] if run.isalpha() else LETTER.findall(CODE.sub(" ", run).lower())
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, bucket, count) of the hashed n-grams of plain texts, by segment and bucket."""
-    joined = " ".join(f"  {t}  " for t in texts) if texts else ""
+def plain(text: str) -> list[str]:
+    """Lower-case words of a text, without codes and numbers."""
+    return [w for run in RUN.findall(text) for w in words_of(run)]
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, bucket, count) of the hashed n-grams of words between two spaces, by word and bucket."""
+    joined = "".join(f" {w} " for w in words)
     codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), [len(t) + 5 for t in texts])[: len(codes)] if texts else np.zeros(0, np.int64)
-    keys, size = [], np.int32 if len(texts) * BUCKETS < 1 << 31 else np.int64
+    owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words]) if words else np.zeros(0, np.int64)
+    keys = []
     for n in GRAMS:
         if len(codes) < n:
             continue
@@ -75,39 +86,84 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h = (h ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0x100000001B3)
             h ^= h >> np.uint64(29)
         own = owner[: len(h)]
-        inside = (own == owner[n - 1 :]) & (codes[: len(h)] + codes[n - 1 :] != 64)
-        keys.append((own[inside] * BUCKETS + (h[inside] % np.uint64(BUCKETS)).astype(np.int64)).astype(size))
+        inside = (own == owner[n - 1 :]) & ((n > 1) | (codes[: len(h)] != 32))
+        keys.append(own[inside] * BUCKETS + (h[inside] % np.uint64(BUCKETS)).astype(np.int64))
     if not keys:
         return (np.zeros(0, np.int64),) * 3
     key, count = np.unique(np.concatenate(keys), return_counts=True)
-    return (key // BUCKETS).astype(np.int64), key % BUCKETS, count
+    return key // BUCKETS, key % BUCKETS, count
 
 
 @dataclass
 class Model:
-    """Inverse document frequencies and unit centroids with their languages."""
+    """Inverse document frequencies and unit centroids with their languages; remembers the words it has seen."""
 
     idf: np.ndarray
     centroids: np.ndarray  # buckets x centroids
     languages: list[str]
-
-    def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        segment, bucket, count = features(texts)
-        weight = (1 + np.log(np.maximum(count, 1))) * self.idf[bucket]
-        norm = np.sqrt(np.bincount(segment, weight * weight, len(texts)))
-        return segment, bucket, weight / np.maximum(norm[segment], 1e-12)
-
-    def cosines(self, texts: list[str]) -> np.ndarray:
-        """texts x languages: cosine with the nearest centroid of each language."""
-        out = np.zeros((len(texts), self.centroids.shape[1]), np.float32)
-        segment, bucket, weight = self.vectors(texts)
-        for at in range(0, len(segment), 200_000):
-            s = segment[at : at + 200_000]
-            part = self.centroids[bucket[at : at + 200_000]] * weight[at : at + 200_000, None].astype(np.float32)
-            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            out[s[first]] += np.add.reduceat(part, first, axis=0)
-        names = np.array(self.languages)
-        return np.stack([out[:, names == l].max(axis=1) if (names == l).any() else np.zeros(len(texts), np.float32) for l in LANGUAGES], axis=1)
+    runs: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    known: dict[str, int] = field(default_factory=dict)
+    new: list[str] = field(default_factory=list)
+    products: np.ndarray | None = None  # words x centroids
+    sizes: np.ndarray | None = None  # words x (length of the vector, letters)
+
+    def vectors(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, bucket, weight) of words."""
+        word, bucket, count = features(words)
+        return word, bucket, (1 + np.log(np.maximum(count, 1))) * self.idf[bucket]
+
+    def numbers(self, text: str) -> list[int]:
+        """The text's words as numbers; new words wait for ``learn``."""
+        out: list[int] = []
+        for run in RUN.findall(text):
+            if (ids := self.runs.get(run)) is None:
+                ids = []
+                for w in words_of(run):
+                    if (i := self.known.get(w)) is None:
+                        i = self.known[w] = len(self.known)
+                        self.new.append(w)
+                    ids.append(i)
+                self.runs[run] = ids = tuple(ids)
+            out += ids
+        return out
+
+    def learn(self) -> None:
+        """Compares the waiting words with all centroids."""
+        if self.products is None:
+            self.products, self.sizes = np.zeros((0, self.centroids.shape[1]), np.float32), np.zeros((0, 2), np.float32)
+        for at in range(0, len(self.new), 2000):
+            part = self.new[at : at + 2000]
+            word, bucket, weight = self.vectors(part)
+            first = np.searchsorted(word, np.arange(len(part)))
+            product = np.add.reduceat(self.centroids[bucket] * weight[:, None].astype(np.float32), first, axis=0)
+            size = np.stack([np.sqrt(np.add.reduceat(weight * weight, first)), [len(w) for w in part]], axis=1)
+            self.products, self.sizes = np.concatenate([self.products, product]), np.concatenate([self.sizes, size.astype(np.float32)])
+        self.new.clear()
+
+    def forget(self) -> None:
+        """Starts again when too many words are remembered."""
+        if len(self.known) + len(self.runs) > 2 * REMEMBERED:
+            self.runs.clear(), self.known.clear()
+            self.products = self.sizes = None
+
+    def cosines(self, segments: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """segments x languages: mean cosine of the words with the nearest centroid of each language; and the segments' letters."""
+        self.learn()
+        out, letters = np.zeros((len(segments), len(LANGUAGES)), np.float32), np.zeros(len(segments), np.int64)
+        filled = [i for i, s in enumerate(segments) if s]
+        if not filled:
+            return out, letters
+        numbers = np.array([w for i in filled for w in segments[i]])
+        first = np.cumsum([0, *(len(segments[i]) for i in filled[:-1])])
+        size = np.add.reduceat(self.sizes[numbers], first, axis=0)
+        letters[filled] = size[:, 1]
+        if self.languages:
+            product = np.add.reduceat(self.products[numbers], first, axis=0) / np.maximum(size[:, :1], 1e-12)
+            names = np.array(self.languages)
+            for k, l in enumerate(LANGUAGES):
+                if (names == l).any():
+                    out[filled, k] = product[:, names == l].max(axis=1)
+        return out, letters
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -118,12 +174,27 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """Number of documents of the whole corpus with each bucket, and of all documents with words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS + 1, np.int64)
+        total, mark = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS, bool)
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                texts = [p for t in batch.slice(at, 64).column(0).to_pylist() if t and (p := plain(t))]
-                total[:BUCKETS] += np.bincount(features(texts)[1], minlength=BUCKETS)
-                total[BUCKETS] += len(texts)
+                found = [set(RUN.findall(t)) if t else set() for t in batch.slice(at, 64).column(0).to_pylist()]
+                if len(held) > REMEMBERED:
+                    held.clear()
+                if new := [r for r in set().union(*found) if r not in held]:
+                    words = [(i, w) for i, r in enumerate(new) for w in words_of(r)]
+                    word, bucket, _ = features([w for _, w in words])
+                    owner = np.array([i for i, _ in words], np.int64)[word] if words else np.zeros(0, np.int64)
+                    edges = np.searchsorted(owner, np.arange(len(new) + 1))
+                    bucket = bucket.astype(np.int32)
+                    held |= {r: bucket[edges[i] : edges[i + 1]] for i, r in enumerate(new)}
+                for runs in found:
+                    if runs:
+                        mark[np.concatenate([held[r] for r in runs])] = True
+                        if len(seen := np.flatnonzero(mark)):
+                            total[seen] += 1
+                            total[BUCKETS] += 1
+                            mark[seen] = False
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
@@ -144,18 +215,30 @@ def fit(docs: DataFrame, text: str, lang: str, sample_rows: int = SAMPLE_ROWS, c
     pool = docs.select(label(F.col(lang)).alias("l"), F.col(text).alias("t")).filter(F.col("l").isin(*LANGUAGES) & (F.length("t") > 0))
     order = Window.partitionBy("l").orderBy(F.xxhash64("t"), "t")
     sample = [(r.l, r.t) for r in pool.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample_rows).toLocalIterator()]
+    model = Model(idf, np.zeros((BUCKETS, 0), np.float32), [])
     texts, names = [], []
     for l, t in sorted(sample):
         for s in segments(t):
-            if len(p := plain(s)) >= 2 * LEAST_LETTERS:
-                texts.append(p)
+            numbers = model.numbers(s)
+            if sum(map(len, plain(s))) >= 2 * LEAST_LETTERS:
+                texts.append(numbers)
                 names.append(l)
     names = np.array(names, dtype=object)
     known = [l for l in LANGUAGES if (names == l).any()]
     if not known:
-        return Model(idf, np.zeros((BUCKETS, 0), np.float32), [])
-    model = Model(idf, np.zeros((BUCKETS, 0), np.float32), [])
-    segment, bucket, weight = model.vectors(texts)
+        return model
+    # the segments' vectors: sums of their words' vectors over the sum of the lengths
+    word, bucket, weight = model.vectors(list(model.known))
+    edges = np.searchsorted(word, np.arange(len(model.known) + 1))
+    length = np.sqrt(np.add.reduceat(weight * weight, edges[:-1]))
+    flat = np.concatenate(texts)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    spans = edges[flat + 1] - edges[flat]
+    at = np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans) + np.repeat(edges[flat], spans)
+    key, place = np.unique(np.repeat(owner, spans) * BUCKETS + bucket[at], return_inverse=True)
+    segment, bucket = key // BUCKETS, key % BUCKETS
+    weight = np.bincount(place, weight[at], len(key)) / np.bincount(owner, length[flat], len(texts))[segment]
+    first = np.searchsorted(segment, np.arange(len(texts)))
 
     def mean(group: np.ndarray, n: int) -> np.ndarray:
         """Unit means of the segments in each of n groups; -1 is no group."""
@@ -163,11 +246,13 @@ def fit(docs: DataFrame, text: str, lang: str, sample_rows: int = SAMPLE_ROWS, c
         keep = own >= 0
         return _unit(np.bincount(bucket[keep] * n + own[keep], weight[keep], BUCKETS * n).reshape(BUCKETS, n)).astype(np.float32)
 
+    def products(centroids: np.ndarray) -> np.ndarray:
+        return np.stack([np.add.reduceat(centroids[bucket, c] * weight, first) for c in range(centroids.shape[1])], axis=1)
+
     start = np.array([known.index(x) for x in names])
     group = start
     for _ in range(4):
-        model = Model(idf, mean(group, len(known)), known)
-        nearest = np.array([known.index(LANGUAGES[i]) if LANGUAGES[i] in known else -1 for i in model.cosines(texts).argmax(axis=1)])
+        nearest = products(mean(group, len(known))).argmax(axis=1)
         group = np.where(nearest == start, start, -1)
     columns, languages = [], []
     for i, l in enumerate(known):
@@ -178,66 +263,73 @@ def fit(docs: DataFrame, text: str, lang: str, sample_rows: int = SAMPLE_ROWS, c
         part = np.full(len(texts), -1)
         part[members] = np.arange(len(members)) % k
         for _ in range(6):
-            own = mean(part, k)
-            first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-            scores = np.zeros((len(texts), k))
-            for c in range(k):
-                scores[segment[first], c] = np.add.reduceat(own[bucket, c] * weight, first)
-            part[members] = scores[members].argmax(axis=1)
-        own = mean(part, k)
+            part[members] = products(mean(part, k))[members].argmax(axis=1)
         used = [c for c in range(k) if (part == c).any()]
-        columns.append(own[:, used])
+        columns.append(mean(part, k)[:, used])
         languages += [l] * len(used)
     return Model(idf, np.concatenate(columns, axis=1), languages)
 
 
 def decide(model: Model, text: str | None) -> list[tuple[int, str, str, float]]:
     """(number, segment, language or '', confidence) of a text's segments."""
-    return decide_all(model, [text])[0]
+    names, sure, parts = decide_all(model, [text])
+    return [(i, p, l, c) for i, (p, l, c) in enumerate(zip(parts[0], names, sure, strict=True))]
 
 
-def decide_all(model: Model, texts: list[str | None]) -> list[list[tuple[int, str, str, float]]]:
-    """``decide`` for many texts at once.
+def decide_all(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[list[str]]]:
+    """Language ('' for none) and confidence of all segments of many texts, and the texts' segments.
 
     A segment gets the nearest language. It gets the document's main language
-    instead if that is nearly as near, if the segment is short, or if one half
-    of its words lies nearer to it: loose foreign words and short pieces don't
-    make a mixed document.
+    instead if that is nearly as near, if the segment is short or repeats few
+    words, or if one half of its words lies nearer to it: loose foreign words
+    and short pieces don't make a mixed document.
     """
+    model.forget()
     parts = [segments(t) for t in texts]
-    flat = [plain(s) for p in parts for s in p]
-    cosines = model.cosines(flat) if flat and model.languages else np.zeros((len(flat), len(LANGUAGES)), np.float32)
-    letters = np.array([len(w.replace(" ", "")) for w in flat])
-    best, main = cosines.argmax(axis=1) if flat else np.zeros(0, int), np.zeros(len(flat), int)
-    at = 0
-    for p in parts:
-        if p:
-            main[at : at + len(p)] = (cosines[at : at + len(p)] * np.sqrt(letters[at : at + len(p)])[:, None]).sum(axis=0).argmax()
-        at += len(p)
+    flat = [model.numbers(s) for p in parts for s in p]
+    if not flat:
+        return [], [], parts
+    cosines, letters = model.cosines(flat)
+    best = cosines.argmax(axis=1)
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    votes = np.zeros((len(parts), len(LANGUAGES)))
+    np.add.at(votes, owner, cosines * letters[:, None])
+    main = votes.argmax(axis=1)[owner]
     every = np.arange(len(flat))
-    top, lead = cosines[every, best], cosines[every, best] - cosines[every, main] if flat else 0
+    top, lead = cosines[every, best], cosines[every, best] - cosines[every, main]
     other = (best != main) & (top >= NEAR) & (letters >= LEAST_LETTERS) & (lead >= LEAD)
+    other[[i for i in np.flatnonzero(other) if len(set(flat[i])) < LEAST_WORDS]] = False
     doubtful = np.flatnonzero(other)
     if len(doubtful):
-        halves = [" ".join(h) for i in doubtful for w in (flat[i].split(),) for h in (w[: (len(w) + 1) // 2], w[len(w) // 2 :])]
-        near = model.cosines(halves).reshape(len(doubtful), 2, len(LANGUAGES))
+        halves = [h for i in doubtful for w in (flat[i],) for h in (w[: (len(w) + 1) // 2], w[len(w) // 2 :])]
+        near = model.cosines(halves)[0].reshape(len(doubtful), 2, len(LANGUAGES))
         each = np.arange(len(doubtful))
         other[doubtful] = (near[each, :, best[doubtful]] > near[each, :, main[doubtful]]).all(axis=1)
     chosen = np.where(other, best, main)
+    value = cosines[every, chosen]
     rest = cosines.copy()
     rest[every, chosen] = -1
-    value, second = cosines[every, chosen], rest.max(axis=1) if flat else rest
     known = (top >= REJECT) & (letters >= 3)
-    out, at = [], 0
-    for p in parts:
-        rows = []
-        for i, segment in enumerate(p):
-            k = at + i
-            sure = min(1.0, max(0.0, 0.5 + (float(value[k]) - float(second[k])) / (2 * max(float(value[k]), 1e-9)))) if known[k] else 0.0
-            rows.append((i, segment, LANGUAGES[chosen[k]] if known[k] else "", round(sure, 4)))
-        out.append(rows)
-        at += len(p)
-    return out
+    sure = np.where(known, np.clip(0.5 + (value - rest.max(axis=1)) / (2 * np.maximum(value, 1e-9)), 0, 1), 0)
+    return [LANGUAGES[c] if k else "" for c, k in zip(chosen, known, strict=True)], np.round(sure.astype(float), 4).tolist(), parts
+
+
+def _decided(docs: DataFrame, id_column: str, text: str, lang: str, model: Model, schema: list[T.StructField], rows) -> DataFrame:
+    """``rows(batch part, languages, confidences, segments)`` of the decided texts, in Arrow batches."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.idf.astype(np.float32), model.centroids, model.languages))
+    taken = docs.select(F.col(id_column), label(F.col(lang)).alias("label"), F.col(text).alias("__text")).filter(F.length("__text") > 0)
+    fields = [taken.schema[0], T.StructField("label", T.StringType()), *schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                index, columns = rows(*decide_all(own, part.column(2).to_pylist()))
+                index = pa.array(index, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), *columns], names=[f.name for f in fields])
+
+    return taken.mapInArrow(run, T.StructType(fields))
 
 
 def classify(docs: DataFrame, id_column: str, text: str, lang: str, model: Model) -> DataFrame:
@@ -246,32 +338,46 @@ def classify(docs: DataFrame, id_column: str, text: str, lang: str, model: Model
     Null, empty and blank texts give no row; repeated rows and null ids stay
     as they are.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.idf.astype(np.float32), model.centroids, model.languages))
-    rows = docs.select(F.col(id_column), label(F.col(lang)).alias("label"), F.col(text).alias("__text")).filter(F.length("__text") > 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = decide_all(own, part.column(2).to_pylist())
-                flat = [(i, *row) for i, row in enumerate(r for f in found for r in f)]
-                index = pa.array([d for d, f in enumerate(found) for _ in f], pa.int32())
-                columns = [part.column(0).take(index), part.column(1).take(index), pa.array([r[1] for r in flat], pa.int32()), pa.array([r[2] for r in flat], pa.string()), pa.array([r[3] or None for r in flat], pa.string()), pa.array([r[4] for r in flat], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[id_column, "label", "segment", "segment_text", "lang", "confidence"])
+    def rows(names: list[str], sure: list[float], parts: list[list[str]]) -> tuple[list[int], list[pa.Array]]:
+        numbers, texts = [i for p in parts for i in range(len(p))], [s for p in parts for s in p]
+        return [d for d, p in enumerate(parts) for _ in p], [pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array([n or None for n in names], pa.string()), pa.array(sure, pa.float64())]
+
+    schema = [T.StructField("segment", T.IntegerType()), T.StructField("segment_text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType())]
+    return _decided(docs, id_column, text, lang, model, schema, rows)
+
+
+def document_languages(docs: DataFrame, id_column: str, text: str, lang: str, model: Model) -> DataFrame:
+    """``classify`` summed up in the same pass: ``id_column``, ``label``, lang, and number of segments and summed confidence of each row's languages."""
+
+    def rows(names: list[str], sure: list[float], parts: list[list[str]]) -> tuple[list[int], list[pa.Array]]:
+        at, index, langs, counts, sums = 0, [], [], [], []
+        for d, p in enumerate(parts):
+            found: dict[str, list[float]] = {}
+            for name, s in zip(names[at : at + len(p)], sure[at : at + len(p)], strict=True):
+                if name:
+                    entry = found.setdefault(name, [0, 0.0])
+                    entry[0] += 1
+                    entry[1] += s
+            at += len(p)
+            index += [d] * len(found)
+            langs += found
+            counts += [int(n) for n, _ in found.values()]
+            sums += [s for _, s in found.values()]
+        return index, [pa.array(langs, pa.string()), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())]
 
-    schema = T.StructType([rows.schema[0], T.StructField("label", T.StringType()), T.StructField("segment", T.IntegerType()), T.StructField("segment_text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    schema = [T.StructField("lang", T.StringType()), T.StructField("n", T.LongType()), T.StructField("sure", T.DoubleType())]
+    return _decided(docs, id_column, text, lang, model, schema, rows)
 
 
-def mislabelled(segments: DataFrame, id_column: str) -> DataFrame:
+def mislabelled(languages: DataFrame, id_column: str) -> DataFrame:
     """``id_column``, lang and confidence of documents whose label is missing or wrong, and of all languages of mixed ones.
 
-    ``segments`` is the result of ``classify``; the confidence is the mean over
-    the language's segments. Documents without a language give no row.
+    ``languages`` is the result of ``document_languages``; rows with the same
+    id and label are one document. The confidence is the mean over the
+    language's segments. Documents without a language give no row.
     """
-    by = segments.filter(F.col("lang").isNotNull()).groupBy(id_column, "label", "lang").agg(F.avg("confidence").alias("confidence"))
+    by = languages.groupBy(id_column, "label", "lang").agg((F.sum("sure") / F.sum("n")).alias("confidence"))
     docs = by.groupBy(id_column, "label").agg(F.collect_list(F.struct("lang", "confidence")).alias("__l"))
     wrong = (F.size("__l") > 1) | F.col("label").isNull() | (F.col("label") != F.col("__l")[0]["lang"])
     return docs.filter(wrong).select(id_column, F.inline("__l"))

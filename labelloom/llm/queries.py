@@ -117,7 +117,9 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages.mislabelled(p10_segments(spark, sf_dir), "doc_id").select("doc_id", "lang")
+    docs = load(spark, sf_dir, "documents")
+    found = languages.document_languages(docs, "doc_id", "text", "lang", languages.fit(docs, "text", "lang"))
+    return languages.mislabelled(found, "doc_id").select("doc_id", "lang")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
