@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,9 @@ CODE = re.compile(r"\b(?=\w*\d)[\w-]+|\b[A-ZА-Я]{2,}-\d+\b")
 BREAK = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|\n\s*\n|\n(?=\s*[-•*–]\s)|(?<=[:;])\s*\n")
 LETTER = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"[\w-]+")
+#: Runs of word characters, and what ends a segment as in BREAK (it ends in white space).
+RUN_OR_END = re.compile(r"[\w-]+|[.!?…][\"'”»)\]]*\s+|\n\s*\n|\n(?=\s*[-•*–]\s)|[:;]\s*\n")
+END = -1
 
 
 def label(lang: Column) -> Column:
@@ -112,20 +116,21 @@ class Model:
         word, bucket, count = features(words)
         return word, bucket, (1 + np.log(np.maximum(count, 1))) * self.idf[bucket]
 
-    def numbers(self, text: str) -> list[int]:
-        """The text's words as numbers; new words wait for ``learn``."""
-        out: list[int] = []
-        for run in RUN.findall(text):
-            if (ids := self.runs.get(run)) is None:
-                ids = []
-                for w in words_of(run):
-                    if (i := self.known.get(w)) is None:
-                        i = self.known[w] = len(self.known)
-                        self.new.append(w)
-                    ids.append(i)
-                self.runs[run] = ids = tuple(ids)
-            out += ids
-        return out
+    def numbers(self, text: str, pattern: re.Pattern = RUN) -> list[int]:
+        """The text's words as numbers, with END where ``pattern`` finds the end of a segment; new words wait for ``learn``."""
+        found = pattern.findall(text)
+        held = list(map(self.runs.get, found))
+        if None in held:
+            for run in found:
+                if run not in self.runs:
+                    own = [] if run[-1].isspace() else words_of(run)
+                    for w in own:
+                        if w not in self.known:
+                            self.known[w] = len(self.known)
+                            self.new.append(w)
+                    self.runs[run] = (END,) if run[-1].isspace() else tuple(self.known[w] for w in own)
+            held = map(self.runs.__getitem__, found)
+        return list(chain.from_iterable(held))
 
     def learn(self) -> None:
         """Compares the waiting words with all centroids."""
@@ -146,24 +151,23 @@ class Model:
             self.runs.clear(), self.known.clear()
             self.products = self.sizes = None
 
-    def cosines(self, segments: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """segments x languages: mean cosine of the words with the nearest centroid of each language; and the segments' letters."""
+    def cosines(self, numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """segments x languages: mean cosine of the words with the nearest centroid of each language; and the segments' letters.
+
+        ``numbers`` are the words of all segments, ``first`` the place of each segment's first word; no segment is empty.
+        """
         self.learn()
-        out, letters = np.zeros((len(segments), len(LANGUAGES)), np.float32), np.zeros(len(segments), np.int64)
-        filled = [i for i, s in enumerate(segments) if s]
-        if not filled:
-            return out, letters
-        numbers = np.array([w for i in filled for w in segments[i]])
-        first = np.cumsum([0, *(len(segments[i]) for i in filled[:-1])])
+        out = np.zeros((len(first), len(LANGUAGES)), np.float32)
+        if not len(first):
+            return out, np.zeros(0)
         size = np.add.reduceat(self.sizes[numbers], first, axis=0)
-        letters[filled] = size[:, 1]
         if self.languages:
             product = np.add.reduceat(self.products[numbers], first, axis=0) / np.maximum(size[:, :1], 1e-12)
             names = np.array(self.languages)
             for k, l in enumerate(LANGUAGES):
                 if (names == l).any():
-                    out[filled, k] = product[:, names == l].max(axis=1)
-        return out, letters
+                    out[:, k] = product[:, names == l].max(axis=1)
+        return out, size[:, 1]
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -174,7 +178,9 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """Number of documents of the whole corpus with each bucket, and of all documents with words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, mark = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS, bool)
+        total = np.zeros(BUCKETS + 1, np.int64)
+        # documents are marked one by one and added in bytes, which are emptied before they overflow
+        mark, some, n = np.zeros(BUCKETS, np.uint8), np.zeros(BUCKETS, np.uint8), 0
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -189,12 +195,16 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
                     bucket = bucket.astype(np.int32)
                     held |= {r: bucket[edges[i] : edges[i + 1]] for i, r in enumerate(new)}
                 for runs in found:
-                    if runs:
-                        mark[np.concatenate([held[r] for r in runs])] = True
-                        if len(seen := np.flatnonzero(mark)):
-                            total[seen] += 1
-                            total[BUCKETS] += 1
-                            mark[seen] = False
+                    if runs and len(seen := np.concatenate([held[r] for r in runs])):
+                        mark[seen] = 1
+                        some += mark
+                        mark[seen] = 0
+                        n += 1
+                        if n % 255 == 0:
+                            total[:BUCKETS] += some
+                            some[:] = 0
+        total[:BUCKETS] += some
+        total[BUCKETS] = n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
@@ -270,52 +280,78 @@ def fit(docs: DataFrame, text: str, lang: str, sample_rows: int = SAMPLE_ROWS, c
     return Model(idf, np.concatenate(columns, axis=1), languages)
 
 
-def decide(model: Model, text: str | None) -> list[tuple[int, str, str, float]]:
-    """(number, segment, language or '', confidence) of a text's segments."""
-    names, sure, parts = decide_all(model, [text])
-    return [(i, p, l, c) for i, (p, l, c) in enumerate(zip(parts[0], names, sure, strict=True))]
-
-
-def decide_all(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[list[str]]]:
-    """Language ('' for none) and confidence of all segments of many texts, and the texts' segments.
+def decide(model: Model, segments: list[list[int]], owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the language (-1 for none) and confidence of non-empty segments; ``owner`` is the text of each, of ``n`` texts.
 
     A segment gets the nearest language. It gets the document's main language
     instead if that is nearly as near, if the segment is short or repeats few
     words, or if one half of its words lies nearer to it: loose foreign words
     and short pieces don't make a mixed document.
     """
-    model.forget()
-    parts = [segments(t) for t in texts]
-    flat = [model.numbers(s) for p in parts for s in p]
-    if not flat:
-        return [], [], parts
-    cosines, letters = model.cosines(flat)
+    starts = lambda parts: np.cumsum([0, *map(len, parts)])[:-1]
+    joined = lambda parts: np.fromiter(chain.from_iterable(parts), np.int64)
+    cosines, letters = model.cosines(joined(segments), starts(segments))
+    if not len(segments):
+        return np.zeros(0, np.int64), np.zeros(0)
     best = cosines.argmax(axis=1)
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    votes = np.zeros((len(parts), len(LANGUAGES)))
+    votes = np.zeros((n, len(LANGUAGES)))
     np.add.at(votes, owner, cosines * letters[:, None])
     main = votes.argmax(axis=1)[owner]
-    every = np.arange(len(flat))
+    every = np.arange(len(segments))
     top, lead = cosines[every, best], cosines[every, best] - cosines[every, main]
     other = (best != main) & (top >= NEAR) & (letters >= LEAST_LETTERS) & (lead >= LEAD)
-    other[[i for i in np.flatnonzero(other) if len(set(flat[i])) < LEAST_WORDS]] = False
+    other[[i for i in np.flatnonzero(other) if len(set(segments[i])) < LEAST_WORDS]] = False
     doubtful = np.flatnonzero(other)
     if len(doubtful):
-        halves = [h for i in doubtful for w in (flat[i],) for h in (w[: (len(w) + 1) // 2], w[len(w) // 2 :])]
-        near = model.cosines(halves)[0].reshape(len(doubtful), 2, len(LANGUAGES))
+        halves = [h for i in doubtful for w in (segments[i],) for h in (w[: (len(w) + 1) // 2], w[len(w) // 2 :])]
+        near = model.cosines(joined(halves), starts(halves))[0].reshape(len(doubtful), 2, len(LANGUAGES))
         each = np.arange(len(doubtful))
         other[doubtful] = (near[each, :, best[doubtful]] > near[each, :, main[doubtful]]).all(axis=1)
     chosen = np.where(other, best, main)
     value = cosines[every, chosen]
-    rest = cosines.copy()
-    rest[every, chosen] = -1
+    cosines[every, chosen] = -1
     known = (top >= REJECT) & (letters >= 3)
-    sure = np.where(known, np.clip(0.5 + (value - rest.max(axis=1)) / (2 * np.maximum(value, 1e-9)), 0, 1), 0)
-    return [LANGUAGES[c] if k else "" for c, k in zip(chosen, known, strict=True)], np.round(sure.astype(float), 4).tolist(), parts
+    sure = np.where(known, np.clip(0.5 + (value - cosines.max(axis=1)) / (2 * np.maximum(value, 1e-9)), 0, 1), 0)
+    return np.where(known, chosen, -1), np.round(sure.astype(float), 4)
+
+
+def decide_segments(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[list[str]]]:
+    """Language ('' for none) and confidence of all segments of many texts, and the texts' segments."""
+    model.forget()
+    parts = [segments(t) for t in texts]
+    flat = [model.numbers(s) for p in parts for s in p]
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    filled = np.array([bool(f) for f in flat], bool)
+    names, sure = np.full(len(flat), -1), np.zeros(len(flat))
+    names[filled], sure[filled] = decide(model, [f for f in flat if f], owner[filled], len(parts))
+    return [LANGUAGES[i] if i >= 0 else "" for i in names], sure.tolist(), parts
+
+
+def decide_documents(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, language, number of segments, summed confidence) of the languages of many texts."""
+    model.forget()
+    flat: list[list[int]] = []
+    owner: list[int] = []
+    for i, t in enumerate(texts):
+        numbers = model.numbers(t, RUN_OR_END) if t else []
+        numbers.append(END)
+        at = 0
+        while at < len(numbers):
+            end = numbers.index(END, at)
+            if end > at:
+                flat.append(numbers[at:end])
+                owner.append(i)
+            at = end + 1
+    owner = np.array(owner, np.int64)
+    names, sure = decide(model, flat, owner, len(texts))
+    key = owner[names >= 0] * len(LANGUAGES) + names[names >= 0]
+    count = np.bincount(key, minlength=1)
+    found = np.flatnonzero(count)
+    return found // len(LANGUAGES), found % len(LANGUAGES), count[found], np.bincount(key, sure[names >= 0], minlength=1)[found]
 
 
 def _decided(docs: DataFrame, id_column: str, text: str, lang: str, model: Model, schema: list[T.StructField], rows) -> DataFrame:
-    """``rows(batch part, languages, confidences, segments)`` of the decided texts, in Arrow batches."""
+    """What ``rows(model, texts)`` tells of the texts: numbers of texts and columns, in Arrow batches."""
     shared = docs.sparkSession.sparkContext.broadcast((model.idf.astype(np.float32), model.centroids, model.languages))
     taken = docs.select(F.col(id_column), label(F.col(lang)).alias("label"), F.col(text).alias("__text")).filter(F.length("__text") > 0)
     fields = [taken.schema[0], T.StructField("label", T.StringType()), *schema]
@@ -325,7 +361,7 @@ def _decided(docs: DataFrame, id_column: str, text: str, lang: str, model: Model
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                index, columns = rows(*decide_all(own, part.column(2).to_pylist()))
+                index, columns = rows(own, part.column(2).to_pylist())
                 index = pa.array(index, pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), *columns], names=[f.name for f in fields])
 
@@ -339,7 +375,8 @@ def classify(docs: DataFrame, id_column: str, text: str, lang: str, model: Model
     as they are.
     """
 
-    def rows(names: list[str], sure: list[float], parts: list[list[str]]) -> tuple[list[int], list[pa.Array]]:
+    def rows(model: Model, texts: list[str]) -> tuple[list[int], list[pa.Array]]:
+        names, sure, parts = decide_segments(model, texts)
         numbers, texts = [i for p in parts for i in range(len(p))], [s for p in parts for s in p]
         return [d for d, p in enumerate(parts) for _ in p], [pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array([n or None for n in names], pa.string()), pa.array(sure, pa.float64())]
 
@@ -350,21 +387,9 @@ def classify(docs: DataFrame, id_column: str, text: str, lang: str, model: Model
 def document_languages(docs: DataFrame, id_column: str, text: str, lang: str, model: Model) -> DataFrame:
     """``classify`` summed up in the same pass: ``id_column``, ``label``, lang, and number of segments and summed confidence of each row's languages."""
 
-    def rows(names: list[str], sure: list[float], parts: list[list[str]]) -> tuple[list[int], list[pa.Array]]:
-        at, index, langs, counts, sums = 0, [], [], [], []
-        for d, p in enumerate(parts):
-            found: dict[str, list[float]] = {}
-            for name, s in zip(names[at : at + len(p)], sure[at : at + len(p)], strict=True):
-                if name:
-                    entry = found.setdefault(name, [0, 0.0])
-                    entry[0] += 1
-                    entry[1] += s
-            at += len(p)
-            index += [d] * len(found)
-            langs += found
-            counts += [int(n) for n, _ in found.values()]
-            sums += [s for _, s in found.values()]
-        return index, [pa.array(langs, pa.string()), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())]
+    def rows(model: Model, texts: list[str]) -> tuple[np.ndarray, list[pa.Array]]:
+        index, names, counts, sums = decide_documents(model, texts)
+        return index, [pa.array([LANGUAGES[i] for i in names], pa.string()), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())]
 
     schema = [T.StructField("lang", T.StringType()), T.StructField("n", T.LongType()), T.StructField("sure", T.DoubleType())]
     return _decided(docs, id_column, text, lang, model, schema, rows)

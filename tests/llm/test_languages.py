@@ -24,7 +24,8 @@ def model(spark, sf):
 
 def test_held_out_accuracy(spark, sf, model):
     rows = load(spark, sf, "eval_item").collect()
-    cosines, _ = model.cosines([model.numbers(r.text) for r in rows])
+    texts = [model.numbers(r.text) for r in rows]
+    cosines, _ = model.cosines(L.np.concatenate(texts), L.np.cumsum([0, *map(len, texts)])[:-1])
     right = sum(L.LANGUAGES[i] == r.lang for i, r in zip(cosines.argmax(axis=1), rows, strict=True))
     assert right / len(rows) >= 0.97
 
@@ -56,13 +57,27 @@ def test_summary_of_segments(spark, model):
 
 def test_what_is_remembered_changes_nothing(model, monkeypatch):
     texts = [f"The rate of rash did not differ in group {chr(97 + i % 26)}{chr(97 + i // 26)} from placebo. Die Fälle waren leicht und gingen bald zurück." for i in range(60)]
-    want = L.decide_all(model, texts)[:2]
+    want = L.decide_segments(model, texts)[:2]
     monkeypatch.setattr(L, "REMEMBERED", 5)
     small = L.Model(model.idf, model.centroids, model.languages)
-    got = [L.decide_all(small, [t])[:2] for t in texts]
+    got = [L.decide_segments(small, [t])[:2] for t in texts]
     assert [n for g in got for n in g[0]] == want[0] and [c for g in got for c in g[1]] == pytest.approx(want[1], abs=1e-3)
 
 
+def test_ends_of_segments_are_found_alike(model):
+    texts = ["One. Two?! \"Three.\" four\n\nfive:\n- six; seven;\n eight 3.5 x-y\n* nine… ten", "", None, "  ", "a.b. c", "…", "\n\n", "x:\n\n\ny"]
+    for t in texts:
+        want = [n for s in L.segments(t) if (n := model.numbers(s))]
+        got, part = [], []
+        for n in [*(model.numbers(t, L.RUN_OR_END) if t else []), L.END]:
+            if n == L.END:
+                got += [part] if part else []
+                part = []
+            else:
+                part.append(n)
+        assert got == want, t
+
+
 def test_document_frequencies(spark):
     texts = ["rash rash fever", "fever", None, "", "12", "Rash-fever x"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
