@@ -99,7 +99,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with most of an item's rarest words close together."""
+    """Documents with three quarters of an item's different words close together."""
     return leaks.near_passages(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_item"))
 
 
@@ -110,6 +110,14 @@ b as (select item_id, array_to_string(w[k:k+9], ' ') g from (select item_id, w,
 select distinct doc_id, item_id from a join b using (g)"""
 
 
+P9_NEAR_SQL = """
+with d as (select doc_id, unnest(w) w, unnest(range(len(w))) p from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents)), i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from eval_item),
+t as (select item_id, greatest(40, 5 * len(w) // 4) span, unnest(list_distinct(w)) w from i), k as (select * from t where w in (select w from d)), n as (select item_id, ceil(0.75 * count(*)) need from k group by item_id),
+h as (select doc_id, item_id, p, w, span from d join k using (w)), c as (select doc_id, item_id from h join n using (item_id) group by doc_id, item_id, need having count(distinct w) >= need),
+s as (select doc_id, item_id, count(distinct b.w) m from c join h a using (doc_id, item_id) join h b using (doc_id, item_id) where b.p between a.p and a.p + a.span - 1 group by doc_id, item_id, a.p)
+select doc_id, item_id, max(m) n_terms from s join n using (item_id) group by doc_id, item_id, need having max(m) >= need"""
+
+
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment of every document with its language and confidence."""
     docs = load(spark, sf_dir, "documents")
@@ -127,4 +135,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL, "p4_copies": P4_COPIES_SQL, "p5_found": P5_SQL, "p8_decoded": P8_DECODED_SQL, "p9_found": P9_SQL}
+    return {"p4_found": P4_SQL, "p4_copies": P4_COPIES_SQL, "p5_found": P5_SQL, "p8_decoded": P8_DECODED_SQL, "p9_found": P9_SQL, "p9_near": P9_NEAR_SQL}
