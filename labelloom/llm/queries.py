@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm import duplicates, languages, leaks, lookalikes, survivors, tokens
-from labelloom.llm.canonical import canonical_fields, canonical_fields_sql, canonical_sql, canonical_text
+from labelloom.llm.canonical import canonical_fields, canonical_fields_sql, canonical_sql, canonical_text, composed
 from labelloom.session import load
 
 COMPLETE = ["matched_term", "evidence_status", "section_title", "subsection_title", "frequency_text", "comparator_text", "population_context", "dose_context", "mentioned_in_sections", "source_paths"]
 
 
-def chunk_key() -> Column:
+def chunk_key(strict: bool = False) -> Column:
     """set_id without case and canonical text; the fields of table rows in any order."""
-    text = F.when(F.col("chunk_type") == "table_row", canonical_fields(F.col("text"))).otherwise(canonical_text(F.col("text")))
-    return duplicates.key_of(F.lower("set_id"), text)
+    text = composed(F.col("text")) if strict else F.col("text")
+    return duplicates.key_of(F.lower("set_id"), F.when(F.col("chunk_type") == "table_row", canonical_fields(text, strict)).otherwise(canonical_text(text, strict)))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,15 +27,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per distinct content: its smallest chunk_id and the number of copies."""
+    """One row per distinct content: its smallest chunk_id and the number of copies; signs, numbers and accents that differ make another content."""
     chunks = load(spark, sf_dir, "label_chunk").select("chunk_id", "set_id", "chunk_type", "text")
-    return duplicates.collapse(chunks, "chunk_id", chunk_key()).representatives().select(F.col("id").alias("first_chunk_id"), "copies")
+    return duplicates.collapse(chunks, "chunk_id", chunk_key(strict=True)).representatives().select(F.col("id").alias("first_chunk_id"), "copies")
 
 
-P4_KEYS = f"""with k as (select chunk_id, lower(set_id) s, case when chunk_type = 'table_row' then {canonical_fields_sql('text')} else {canonical_sql('text')} end t from label_chunk
+def _p4_keys(strict: bool) -> str:
+    text = "nfc_normalize(text)" if strict else "text"
+    return f"""with k as (select chunk_id, lower(set_id) s, case when chunk_type = 'table_row' then {canonical_fields_sql(text, strict)} else {canonical_sql(text, strict)} end t from label_chunk
   where set_id is not null and text is not null), g as (select s, t, min(chunk_id) first_chunk_id, count(*) copies from k group by s, t)"""
-P4_SQL = P4_KEYS + " select first_chunk_id, chunk_id from k join g using (s, t) where chunk_id <> first_chunk_id"
-P4_COPIES_SQL = P4_KEYS + " select first_chunk_id, copies from g"
+
+
+P4_SQL = _p4_keys(False) + " select first_chunk_id, chunk_id from k join g using (s, t) where chunk_id <> first_chunk_id"
+P4_COPIES_SQL = _p4_keys(True) + " select first_chunk_id, copies from g"
 
 
 def finding_key() -> Column:
@@ -56,18 +60,24 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The survivors with sections and source paths united and the best texts of each field."""
     merged = findings(spark, sf_dir, ["evidence_status", "frequency_text", "comparator_text"], ["mentioned_in_sections", "source_paths"])
-    return merged.withColumnsRenamed({"first_id": "first_item_id", "survivor_id": "survivor_item_id"})
+    merged = merged.withColumnsRenamed({"first_id": "first_item_id", "survivor_id": "survivor_item_id"})
+    return merged.withColumns({c: F.array_join(c, "|") for c in ("mentioned_in_sections", "source_paths")})
 
 
 P5_FULL = " + ".join(f"(coalesce(length(trim({c})), 0) > 0)::int" for c in COMPLETE[:6]) + " + " + " + ".join(f"(coalesce(len({c}), 0) > 0)::int" for c in COMPLETE[6:])
-P5_SQL = f"""
+P5_KEYS = f"""
 with k as (select *, rxcui a, lower(trim(normalized_event)) b, case when chunk_type = 'table_row' then {canonical_fields_sql('supporting_quote')} else {canonical_sql('supporting_quote')} end c,
   {P5_FULL} full_n, case lower(trim(extraction_confidence)) when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end trust from evidence_item),
 g as (select a, b, c, min(item_id) first_item_id from k where a is not null and b is not null and c is not null group by a, b, c having count(*) > 1),
 s as (select a, b, c, item_id from k qualify row_number() over (partition by a, b, c order by full_n desc, extracted_at desc nulls last, item_id) = 1),
 e as (select a, b, c, lower(trim(evidence_status)) evidence_status from k where length(trim(evidence_status)) > 0
-  qualify row_number() over (partition by a, b, c order by trust desc, extracted_at desc nulls last, item_id) = 1)
-select first_item_id, s.item_id survivor_item_id, evidence_status from g join s using (a, b, c) left join e using (a, b, c)"""
+  qualify row_number() over (partition by a, b, c order by trust desc, extracted_at desc nulls last, item_id) = 1)"""
+P5_SQL = P5_KEYS + " select first_item_id, s.item_id survivor_item_id, evidence_status from g join s using (a, b, c) left join e using (a, b, c)"
+_best = lambda c: f"arg_min(trim({c}), (-trust, extracted_at is null, -epoch_us(coalesce(extracted_at, timestamp '1970-01-01')), item_id)) filter (length(trim({c})) > 0) {c}"
+_united = lambda c: f"(select a, b, c, string_agg(distinct v, '|' order by v) {c} from (select a, b, c, unnest({c}) v from k) where length(trim(v)) > 0 group by a, b, c)"
+P5_MERGED_SQL = P5_KEYS + f""", f as (select a, b, c, count(*) copies, {_best('evidence_status')}, {_best('frequency_text')}, {_best('comparator_text')} from k group by a, b, c)
+select first_item_id, s.item_id survivor_item_id, copies, f.evidence_status, frequency_text, comparator_text, mentioned_in_sections, source_paths from g join s using (a, b, c) join f using (a, b, c)
+left join {_united('mentioned_in_sections')} using (a, b, c) left join {_united('source_paths')} using (a, b, c)"""
 
 
 def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,4 +145,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL, "p4_copies": P4_COPIES_SQL, "p5_found": P5_SQL, "p8_decoded": P8_DECODED_SQL, "p9_found": P9_SQL, "p9_near": P9_NEAR_SQL}
+    return {"p4_found": P4_SQL, "p4_copies": P4_COPIES_SQL, "p5_found": P5_SQL, "p5_merged": P5_MERGED_SQL, "p8_decoded": P8_DECODED_SQL, "p9_found": P9_SQL, "p9_near": P9_NEAR_SQL}

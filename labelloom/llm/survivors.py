@@ -1,9 +1,10 @@
 """One surviving record per group of duplicates, with the best value of each field.
 
-Records are ranked by completeness, trust and recency in windows with a
-deterministic tie-break. Only the top record of a group is kept, so the rank
-is limited before the shuffle and a hot group never meets in one task;
-united fields are reduced to distinct values in two levels.
+Records are ranked by completeness, trust and recency in one window with a
+deterministic tie-break: a record takes part once in the ranking of survivors
+and once in that of each field it fills. Only the top of each ranking is kept,
+so the ranks are limited before the shuffle and a hot group never meets in one
+task; united fields are reduced to distinct values in two levels.
 """
 
 from __future__ import annotations
@@ -36,15 +37,19 @@ def trust(column: str, order: tuple[str, ...]) -> Column:
     return out
 
 
-def top_record(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+def top_records(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first record of each key by ``order``, which must break all ties."""
-    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__rank = 1").drop("__rank")
+    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rank = 1").drop("__rank")
 
 
-def united(df: DataFrame, key: str, column: str) -> DataFrame:
-    """``key`` and the sorted distinct values of an array column, blanks left out."""
-    values = df.select(key, F.explode(column).alias("__v")).filter(F.length(F.trim("__v")) > 0).distinct()
-    return values.groupBy(key).agg(F.array_sort(F.collect_list("__v")).alias(column))
+def united(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """``key`` and, for each array column, its sorted distinct values, blanks left out (null without any)."""
+    entry = lambda i: lambda v: F.struct(F.lit(i).alias("__f"), v.alias("__v"))
+    each = F.flatten(F.array(*[F.transform(F.coalesce(n, F.array().cast("array<string>")), entry(i)) for i, n in enumerate(names)]))
+    values = df.select(key, F.inline(each)).filter(F.length(F.trim("__v")) > 0).distinct()
+    lists = values.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__f", "__v"))).alias("__l"))
+    own = lambda i: F.transform(F.filter("__l", lambda x: x["__f"] == i), lambda x: x["__v"])
+    return lists.select(key, *[F.when(F.size(own(i)) > 0, own(i)).alias(n) for i, n in enumerate(names)])
 
 
 def merge(
@@ -69,14 +74,17 @@ def merge(
     """
     used = list(dict.fromkeys([*fields, recency, trusted, *best, *unite]))
     rows = df.select(F.col(id_column).alias("__id"), key.alias("__k"), *used).filter(F.col("__k").isNotNull() & F.col("__id").isNotNull())
-    late = F.col(recency).desc_nulls_last()
     sizes = rows.groupBy("__k").agg(F.min("__id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    tops = top_record(rows.select("__k", "__id", recency, completeness(rows, fields).alias("__full")), "__k", [F.col("__full").desc(), late, F.col("__id").asc()])
-    out = sizes.join(tops.select("__k", F.col("__id").alias("survivor_id")), "__k")
-    for name in best:
-        filled = rows.filter(is_filled(rows, name)).select("__k", "__id", recency, trust(trusted, trust_order).alias("__trust"), name)
-        tops = top_record(filled, "__k", [F.col("__trust").desc(), late, F.col("__id").asc()])
-        out = out.join(tops.select("__k", F.trim(name).alias(name) if isinstance(rows.schema[name].dataType, T.StringType) else name), "__k", "left")
-    for name in unite:
-        out = out.join(united(rows, "__k", name), "__k", "left")
-    return out.drop("__k")
+    # the rankings a record takes part in, with its score there: 0 is the survivors', i + 1 that of the field best[i]
+    entry = lambda i, score: F.struct(F.lit(i).alias("__i"), score.cast("int").alias("__score"))
+    taken = F.array(entry(0, completeness(rows, fields)), *[F.when(is_filled(rows, n), entry(i + 1, trust(trusted, trust_order))) for i, n in enumerate(best)])
+    value = lambda n: F.trim(n) if isinstance(rows.schema[n].dataType, T.StringType) else F.col(n)
+    ranked = rows.select("__k", "__id", recency, *[value(n).alias(f"__v{i + 1}") for i, n in enumerate(best)], F.inline(F.filter(taken, lambda e: e.isNotNull())))
+    # a record carries a field's value only in that field's ranking
+    ranked = ranked.select("__k", "__i", "__score", F.col(recency).alias("__late"), "__id", *[F.when(F.col("__i") == i + 1, F.col(f"__v{i + 1}")).alias(f"__v{i + 1}") for i in range(len(best))])
+    tops = top_records(ranked, ["__k", "__i"], [F.col("__score").desc(), F.col("__late").desc_nulls_last(), F.col("__id").asc()])
+    tops = tops.groupBy("__k").agg(F.max(F.when(F.col("__i") == 0, F.col("__id"))).alias("survivor_id"), *[F.any_value(f"__v{i + 1}", True).alias(n) for i, n in enumerate(best)])
+    out = sizes.join(tops, "__k")
+    if unite:
+        out = out.join(united(rows, "__k", list(unite)), "__k", "left")
+    return out.select("first_id", "survivor_id", "copies", *best, *unite)

@@ -1,10 +1,11 @@
 import random
 from collections import defaultdict
 
+import duckdb
 from pyspark.sql import functions as F
 
 from labelloom.llm import duplicates, survivors
-from labelloom.llm.canonical import canonical_fields, canonical_text
+from labelloom.llm.canonical import canonical_fields, canonical_sql, canonical_text, composed
 from labelloom.llm.queries import p4_found, p5_found
 
 
@@ -16,6 +17,29 @@ def test_canonical_text(spark):
     assert [r[0] for r in fields.select(canonical_fields(F.col("t"))).collect()] == ["a 1 b 2", "a 1 b 2", "", None]
 
 
+def test_strict_form_keeps_what_changes_the_meaning(spark):
+    apart = [("dose < 5 mg", "dose > 5 mg"), ("1.5 mg", "1 5 mg"), ("1,5", "15"), ("-5 units", "5 units"), ("± 5", "5"), ("a+b", "a b"), ("cafe\u0301", "cafe"), ("5 °C", "5 C"), ("1.2.3", "1 2.3")]
+    alike = [("cafe\u0301s", "Cafés"), ("A-b,  c.", "a b c"), ("(dose) - 5 mg", "dose 5 mg"), ("x-5", "X 5"), ("5 mg.", "5 MG"), ("“Rash”; 1.5%", "rash 1.5%"), ("3-5", "3 5"), ("end. 5", "end 5")]
+    df = spark.createDataFrame([(a, b) for a, b in apart + alike], "a string, b string")
+    form = lambda c: canonical_text(composed(F.col(c)), strict=True)
+    got = [(r.x, r.y) for r in df.select(form("a").alias("x"), form("b").alias("y")).collect()]
+    assert [x != y for x, y in got[: len(apart)]] == [True] * len(apart), got
+    assert [x == y for x, y in got[len(apart) :]] == [True] * len(alike), got
+    rows = df.toPandas()  # noqa: F841
+    assert duckdb.sql(f"select {canonical_sql('nfc_normalize(a)', True)}, {canonical_sql('nfc_normalize(b)', True)} from rows").fetchall() == got
+
+
+def test_a_key_of_a_third_of_the_rows_is_salted(spark):
+    """At the default settings; its rows never meet in one task."""
+    df = spark.range(75_000).selectExpr("id", "if(id % 3 = 1, 'hot', concat('k', id div 4)) k")
+    out = duplicates.collapse(df, "id", duplicates.key_of(F.col("k")))
+    assert out.hot.count() == 1
+    counts = {(r.first_id, r.copies): r["count"] for r in out.members.groupBy("first_id", "copies").count().filter("count > 4").collect()}
+    assert counts == {(1, 25_000): 25_000}
+    assert out.members.count() == 75_000
+    assert out.representatives().agg(F.sum("copies")).first()[0] == 75_000
+
+
 def test_hot_and_other_keys_against_brute_force(spark):
     pick = random.Random(1)
     rows = [(i, "hot" if pick.random() < 0.35 else f"k{pick.randrange(300)}" if pick.random() < 0.9 else None, "x") for i in range(3000)]
@@ -72,6 +96,9 @@ def test_survivors(spark):
     merged = lambda d: {r.first_id: (r.survivor_id, r.copies, r.a, r.b) for r in survivors.merge(d, "i", survivors.F.col("g"), ["a", "b"], "seen", "trust", ("high", "medium", "low"), ["a"], ["b"]).collect()}
     assert merged(df) == {1: (1, 4, "y", ["s1", "s2"]), 7: (7, 2, None, None), 9: (9, 2, "q", None)}
     assert merged(df.limit(0)) == {}
+    two = df.withColumn("c", F.array(F.lit("z"), F.concat(F.lit("c"), "a")))
+    out = survivors.merge(two, "i", F.col("g"), ["a", "b"], "seen", "trust", ("high", "medium", "low"), ["a", "trust"], ["b", "c"]).collect()
+    assert {r.first_id: (r.a, r.trust, r.b, r.c) for r in out} == {1: ("y", "HIGH", ["s1", "s2"], ["c ", "c y ", "cx", "cz", "z"]), 7: (None, None, None, ["z"]), 9: ("q", None, None, ["cq", "z"])}
 
 
 def test_survivors_found(spark, sf):
