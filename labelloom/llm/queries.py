@@ -80,16 +80,20 @@ select first_item_id, s.item_id survivor_item_id, copies, f.evidence_status, fre
 left join {_united('mentioned_in_sections')} using (a, b, c) left join {_united('source_paths')} using (a, b, c)"""
 
 
-def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text and quote in one consistent form, and whether it was changed."""
+def _unified(spark: SparkSession, sf_dir: str, compare: bool) -> DataFrame:
     texts = {"label_chunk": load(spark, sf_dir, "label_chunk").select("chunk_id", "text"), "evidence_item": load(spark, sf_dir, "evidence_item").select("item_id", "supporting_quote")}
-    counts = lookalikes.character_counts([df.select(df.columns[1]) for df in texts.values()])
-    parts = [lookalikes.unify(df, df.columns[0], df.columns[1], counts).select(F.lit(name).alias("source_table"), F.col(df.columns[0]).alias("record_id"), "unified", "changed") for name, df in texts.items()]
+    counts = lookalikes.string_counts([df.select(df.columns[1]) for df in texts.values()], lookalikes.sequences(lookalikes.prototypes(spark)) if compare else ())
+    parts = [lookalikes.unify(df, df.columns[0], df.columns[1], counts, compare).withColumnRenamed(df.columns[0], "record_id").withColumn("source_table", F.lit(name)) for name, df in texts.items()]
     return parts[0].unionByName(parts[1])
 
 
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text and quote in one consistent form, whether it was changed, and the form to compare by."""
+    return _unified(spark, sf_dir, True).select("source_table", "record_id", "unified", "changed", "comparable")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_texts(spark, sf_dir).filter("changed").select("source_table", "record_id")
+    return _unified(spark, sf_dir, False).filter("changed").select("source_table", "record_id")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
