@@ -67,13 +67,29 @@ def match_usage(members: DataFrame, usage: DataFrame) -> DataFrame:
     return left.join(right, "__core").withColumn("match_quality", name_match("name", "tty", "generic_name")).filter(F.col("match_quality").isNotNull()).drop("__core")
 
 
+def match_note(quality: str, member: str, generic: str) -> Column:
+    """What is said of a match."""
+    names = F.concat(F.lit(': RxClass "'), F.col(member), F.lit('" to CMS "'), F.col(generic), F.lit('".'))
+    q = F.col(quality)
+    return F.when(q == "exact", "Exact normalized generic-name match.").when(q == "salt-normalized", F.concat(F.lit("Approximate salt-normalized match"), names)).when(q == "combination-normalized", F.concat(F.lit("Approximate combination/salt normalization"), names))
+
+
+def usage_by_member(members: DataFrame, usage: DataFrame) -> DataFrame:
+    """Ranked usage of the members (rxcui, name, tty) whose names match usage rows (generic_name, claims, beneficiaries), with notes on the matches."""
+    matched = match_usage(members, usage).withColumn("note", match_note("match_quality", "name", "generic_name"))
+    return usage_rollup(matched)
+
+
 def usage_rollup(matched: DataFrame) -> DataFrame:
     """Claims per drug, ranked: most claims, then most beneficiaries, name and rxcui.
 
-    ``matched`` has rxcui, name, generic_name, claims, beneficiaries and
-    match_quality. Beneficiaries are null if all are.
+    ``matched`` has rxcui, name, generic_name, claims, beneficiaries,
+    match_quality and, if there are any, notes in ``note``, which come out
+    distinct, in order and joined. Beneficiaries are null if all are.
     """
+    notes = [F.array_join(F.array_sort(F.collect_set("note")), " ").alias("match_note")] if "note" in matched.columns else []
     df = matched.groupBy("rxcui").agg(
+        *notes,
         F.min("name").alias("name"),
         F.sum("claims").alias("total_claims"),
         F.sum("beneficiaries").alias("total_beneficiaries"),
@@ -123,9 +139,11 @@ def search_classes(catalog: DataFrame, query: str, fuzzy: bool = True, strong: i
         plain = plain.unionByName(rest)
     kind = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(t) for t in TYPE_ORDER]), F.upper("class_type")), F.lit(0)), F.lit(99))
     order = [F.col("bucket"), F.desc("score"), kind, F.length("__n"), F.lower("class_name"), F.col("class_id")]
-    df = plain.withColumn("match_strength", F.when(F.col("bucket") <= 2, "official").otherwise("possible"))
-    df = df.withColumn("position", F.row_number().over(Window.partitionBy("match_strength").orderBy(*order)))
-    return df.filter(F.col("position") <= F.when(F.col("match_strength") == "official", strong).otherwise(possible)).select("class_id", "class_name", "class_type", "bucket", F.round("score", 4).alias("match_score"), "match_strength", "position")
+    # two ordered limits, so each task hands on no more rows than are shown
+    first = lambda df, n: ranked(df.orderBy(*order).limit(n), order, "position")
+    strongest, weaker = first(plain.filter("bucket <= 2"), strong), first(plain.filter("bucket > 2"), possible)
+    df = strongest.withColumn("match_strength", F.lit("official")).unionByName(weaker.withColumn("match_strength", F.lit("possible")))
+    return df.select("class_id", "class_name", "class_type", "bucket", F.round("score", 4).alias("match_score"), "match_strength", "position")
 
 
 def first_option(df: DataFrame, keys: list[str], option: str) -> DataFrame:
@@ -187,3 +205,8 @@ def label_confidence(exact_rxcui: Column, exact_generic: Column, exact_substance
     """high, moderate or low, by identity and number of safety sections."""
     strong = exact_rxcui | (core & product) | (exact_generic & exact_substance)
     return F.when(strong & (safety >= 3), "high").when((exact_rxcui | exact_generic | exact_substance | core) & (safety >= 2), "moderate").otherwise("low")
+
+
+def representatives(ranked: DataFrame, top: int = 3) -> DataFrame:
+    """The drugs of the first ``top`` ranks, one at least."""
+    return ranked.filter(F.col("rank") <= max(1, top))

@@ -46,16 +46,16 @@ def case_terms(query: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*table), wanted), terms(own, own))
 
 
-def classification_supported() -> Column:
-    """Whether an item's quote or fields bear out its status."""
-    says = lambda *words: "(" + " or ".join(f"contains(lower(supporting_quote), {X.lit(w)})" for w in words) + ")"
+def classification_supported(p: str = "") -> Column:
+    """Whether an item's quote or fields bear out its status; ``p`` is the item's struct with a point."""
+    says = lambda *words: "(" + " or ".join(f"contains(lower({p}supporting_quote), {X.lit(w)})" for w in words) + ")"
     return F.expr(
-        f"""coalesce(case evidence_status when 'negated' then {says("no cases", "not observed", "none observed")}
+        f"""coalesce(case {p}evidence_status when 'negated' then {says("no cases", "not observed", "none observed")}
         when 'historical_or_preexisting' then {says("pre-existing", "preexisting", "history of")}
         when 'comparator_only' then {says("placebo", "comparator", "control")}
-        when 'interaction_dependent' then coalesce(size(interaction_context) > 0, false) or coalesce(array_contains(evidence_context, 'drug_interaction'), false)
-        when 'explicit_positive' then assertion = 'present' and length(matched_term) > 0
-        when 'related_but_not_explicit' then assertion = 'uncertain' and length(matched_term) > 0 else true end, false)"""
+        when 'interaction_dependent' then coalesce(size({p}interaction_context) > 0, false) or coalesce(array_contains({p}evidence_context, 'drug_interaction'), false)
+        when 'explicit_positive' then {p}assertion = 'present' and length({p}matched_term) > 0
+        when 'related_but_not_explicit' then {p}assertion = 'uncertain' and length({p}matched_term) > 0 else true end, false)"""
     )
 
 
@@ -165,3 +165,189 @@ def identity(fixed_version: Column, fixed_time: Column, actual_version: Column,
         .when(day(fixed_time) != day(actual_time), "fixed_spl_effective_time_mismatch")
         .otherwise("fixed_spl_version_verified")
     )
+
+
+def same_value(left: Column, right: Column) -> Column:
+    """Whether two texts agree; null and empty are alike."""
+    return F.coalesce(left, F.lit("")) == F.coalesce(right, F.lit(""))
+
+
+def section_folded(text: Column) -> Column:
+    """Letters and digits in lower case, single spaces."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def section_matches(item: str, expected: str) -> Column:
+    """Whether the expected section is named by an item's section, subsection or mentions; without an item, whether none was expected."""
+    whole = F.concat_ws(" ", F.coalesce(f"{item}.section_title", F.lit("")), F.coalesce(f"{item}.subsection_title", F.lit("")), F.coalesce(f"{item}.mentioned_in_sections", F.array().cast("array<string>")))
+    wanted = section_folded(F.coalesce(expected, F.lit("")))
+    return F.when(F.col(item).isNull(), F.col(expected).isNull()).otherwise((F.length(wanted) > 0) & F.contains(section_folded(whole), wanted))
+
+
+def traceability(terms: str = "searched", prefix: str = "") -> Column:
+    """The six checks of an item, as a struct of booleans; ``terms`` is the array of searched terms, ``prefix`` the item's struct with a point."""
+    at = lambda c: F.col(prefix + c)
+    filled = lambda one, many: F.coalesce(F.length(at(one)) > 0, F.lit(False)) | F.coalesce(F.size(at(many)) > 0, F.lit(False))
+    quote = F.coalesce(at("supporting_quote"), F.lit(""))
+    return F.struct(
+        (F.length(F.trim(quote)) > 0).alias("supporting_quote"),
+        filled("source_path", "source_paths").alias("source_path"),
+        filled("chunk_hash", "chunk_hashes").alias("chunk_hash"),
+        F.coalesce(F.length(F.trim("set_id")) > 0, F.lit(False)).alias("set_id"),
+        F.exists(terms, lambda t: F.contains(F.lower(quote), t)).alias("event_or_synonym"),
+        classification_supported(prefix).alias("classification_supported"),
+    )
+
+
+def all_hold(checks: str) -> Column:
+    names = ("supporting_quote", "source_path", "chunk_hash", "set_id", "event_or_synonym", "classification_supported")
+    out = F.lit(True)
+    for name in names:
+        out = out & F.col(f"{checks}.{name}")
+    return out
+
+
+def case_scores(predictions: DataFrame, query: str = "event_query") -> DataFrame:
+    """``predictions`` (cases with their primary ``item``) with one boolean per compared field and the item's traceability.
+
+    The cases have the expected_ fields of the reviewed cases and set_id. A
+    case without an item is predicted ``not_found``. Fields that no reviewer
+    filled agree with empty ones; traceability is null where nothing was found.
+    """
+    df = predictions.withColumn("searched", case_terms(F.col(query))["searched"])
+    status = F.coalesce("item.evidence_status", F.when(F.col("item").isNull(), "not_found"))
+    df = df.withColumns({"predicted_status": status, "checks": F.when(F.col("item").isNotNull() & ~F.coalesce("item.evidence_status", F.lit("")).isin("not_found", "insufficient_label_data"), traceability("searched", "item."))})
+    text = lambda name: same_value(F.col(f"item.{name}"), F.col(f"expected_{name}"))
+    quote = quote_match(F.col("expected_supporting_quote"), F.col("item.supporting_quote"))
+    return df.withColumns(
+        {
+            "status_correct": same_value(F.col("predicted_status"), F.col("expected_status")),
+            "assertion_correct": text("assertion"),
+            "subject_correct": text("subject"),
+            "context_correct": same_set(F.col("item.evidence_context"), F.col("expected_context")),
+            "frequency_correct": text("frequency_text"),
+            "comparator_correct": text("comparator_text"),
+            "section_correct": section_matches("item", "expected_section"),
+            "quote_match": quote,
+            "traceable": F.when(F.col("checks").isNotNull(), all_hold("checks")),
+        }
+    )
+
+
+def accuracy(correct: str, where: Column | None = None) -> Column:
+    """Share of rows that are correct among those that count; null if none do."""
+    flag = F.col(correct).cast("double")
+    return F.avg(F.when(where, flag) if where is not None else flag)
+
+
+def summary(scores: DataFrame) -> DataFrame:
+    """One row of figures over the scored cases; null where nothing counts."""
+    expected = F.col("expected_status")
+    return scores.agg(
+        F.count(F.lit(1)).alias("cases"),
+        accuracy("status_correct").alias("micro_f1"),
+        accuracy("status_correct", expected == "negated").alias("negation_accuracy"),
+        accuracy("status_correct", expected == "interaction_dependent").alias("interaction_accuracy"),
+        accuracy("assertion_correct").alias("assertion_accuracy"),
+        accuracy("subject_correct").alias("subject_accuracy"),
+        accuracy("context_correct").alias("context_accuracy"),
+        accuracy("frequency_correct", F.coalesce("score_frequency", F.lit(False))).alias("frequency_accuracy"),
+        accuracy("comparator_correct", F.coalesce("score_comparator", F.lit(False))).alias("comparator_accuracy"),
+        accuracy("section_correct", F.length("expected_section") > 0).alias("section_accuracy"),
+        F.avg(F.when(F.col("quote_match") != "not_scored_no_expected_supporting_quote", (F.col("quote_match") == "matched").cast("double"))).alias("quote_accuracy"),
+        F.avg(F.col("checks.source_path").cast("double")).alias("source_path_completeness"),
+        F.avg(F.col("checks.supporting_quote").cast("double")).alias("quote_completeness"),
+        accuracy("traceable").alias("traceability"),
+    )
+
+
+def macro_f1(metrics: DataFrame) -> DataFrame:
+    """Mean F1 (``status_macro_f1``) of ``status_metrics`` over statuses with support; a status without an F1 is skipped."""
+    return metrics.filter("support > 0").agg(F.avg("f1").alias("status_macro_f1"))
+
+
+def unsupported_positives(items: DataFrame) -> DataFrame:
+    """Number of explicit positives that fail a check; ``items`` has ``searched``, the terms of its case."""
+    return items.filter("evidence_status = 'explicit_positive'").withColumn("checks", traceability()).agg(F.count_if(~all_hold("checks")).alias("unsupported_positive_count"))
+
+
+TIMES_LEFT_OUT = ("created_at", "retrieved_at", "timestamp")
+
+
+def determinism(runs: list[DataFrame], keys: list[str]) -> DataFrame:
+    """``keys`` and whether all runs gave the same rows, times left out; a key that a run lacks isn't deterministic.
+
+    Rows are hashed and the hashes added, so no group is gathered.
+    """
+    hashed = []
+    for i, run in enumerate(runs):
+        columns = sorted(c for c in run.columns if c not in (*keys, *TIMES_LEFT_OUT))
+        row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+        part = lambda at: F.conv(F.substring(row, at, 12), 16, 10).cast("decimal(20,0)")  # noqa: B023, E731
+        hashed.append(run.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(part(1)).alias("a"), F.sum(part(13)).alias("b")).withColumn("run", F.lit(i)))
+    every = hashed[0]
+    for one in hashed[1:]:
+        every = every.unionByName(one)
+    same = (F.count(F.lit(1)) == len(runs)) & (F.count_distinct(F.struct("n", "a", "b")) == 1)
+    return every.groupBy(*keys).agg(same.alias("deterministic"))
+
+
+AXES = {
+    "explicit_positive": "expected_status = 'explicit_positive'",
+    "interaction_or_conditional": "expected_status = 'interaction_dependent' or expected_assertion = 'conditional'",
+    "negation_historical_or_comparator": "expected_status in ('negated', 'historical_or_preexisting', 'comparator_only')",
+    "frequency_or_comparator": "score_frequency or score_comparator",
+    "not_found": "expected_status = 'not_found' or benchmark_group = 'not_found'",
+}
+
+
+def completeness(cases: DataFrame, evaluated: DataFrame, id_column: str) -> DataFrame:
+    """One row: cases, those reviewed, evaluated and neither, the coverage of each axis by evaluated cases, and the axes without any.
+
+    ``evaluated`` has the ids of the cases that could be evaluated; it is a
+    set, so repeated ids count once.
+    """
+    ids = evaluated.select(id_column).distinct().withColumn("__evaluated", F.lit(True))
+    df = cases.join(ids, id_column, "left").withColumns({"__done": F.coalesce("gold_review_complete", F.lit(False)), "__evaluated": F.coalesce("__evaluated", F.lit(False))})
+    eligible = F.col("__done") & F.col("__evaluated")
+    axes = {name: F.count_if(eligible & F.coalesce(F.expr(rule), F.lit(False))) for name, rule in AXES.items()}
+    row = df.agg(
+        F.count(F.lit(1)).alias("cases"), F.count_if("__done").alias("completed"), F.count_if(~F.col("__done")).alias("needing_review"), F.count_if(eligible).alias("evaluated"), F.count_if(F.col("__done") & ~F.col("__evaluated")).alias("not_evaluated"),
+        *[c.alias(name) for name, c in axes.items()],
+    )
+    missing = F.array_join(F.filter(F.array(*[F.when(F.col(name) == 0, name) for name in AXES]), lambda a: a.isNotNull()), "|")
+    return row.withColumn("missing_axes", missing)
+
+
+def scenario_results(scenarios: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Reviewed class scenarios with their assessment: evaluated, reason, predicted and correct.
+
+    ``scenarios``: scenario_id, event, expected_class_assessment,
+    gold_review_complete and drugs (array of struct with rxcui and state, the
+    identity of the drug's label). A scenario with a label that isn't verified
+    isn't evaluated; the first such state is the reason. ``statuses``: event,
+    rxcui and evidence_status of drugs with items; a drug without is not_found.
+    """
+    from labelloom.plans.rollup import class_summary
+
+    done = scenarios.filter("gold_review_complete")
+    bad = F.get(F.filter("drugs", lambda d: d["state"] != "fixed_spl_version_verified"), F.lit(0))["state"]
+    done = done.withColumn("reason", bad)
+    drugs = done.filter("reason is null").select("scenario_id", "event", F.inline("drugs")).drop("state")
+    rows = drugs.join(statuses, ["event", "rxcui"], "left").withColumn("evidence_status", F.coalesce("evidence_status", F.lit("not_found")))
+    found = class_summary(rows, ["scenario_id"]).select("scenario_id", F.col("class_assessment").alias("predicted"))
+    df = done.join(found, "scenario_id", "left")
+    return df.select("scenario_id", F.col("reason").isNull().alias("evaluated"), "reason", "expected_class_assessment", "predicted", F.coalesce(F.col("predicted") == F.col("expected_class_assessment"), F.lit(False)).alias("correct"))
+
+
+def metric_text(value: Column) -> Column:
+    """A figure with three decimals, N/A if there is none."""
+    return F.when(value.isNull() | F.isnan(value), "N/A").otherwise(F.format_string("%.3f", value))
+
+
+def result_counters(items: DataFrame) -> DataFrame:
+    """Items before and after merging (``merged`` of each), and how many are positive, negated or depend on an interaction."""
+    of = lambda status: F.count_if(F.col("evidence_status") == status)
+    return items.agg(
+        F.coalesce(F.sum("merged"), F.lit(0)).alias("items_before_merge"), F.count(F.lit(1)).alias("items"), of("explicit_positive").alias("positive"), of("negated").alias("negated"), of("interaction_dependent").alias("interaction_dependent")
+    )

@@ -277,20 +277,40 @@ def numeric_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("item_id", "span_no", F.col("s.m").alias("span"), F.length("s.before").alias("at"), F.expr(N.role("s", "coalesce(matched_term, '')")).alias("role"))
 
 
-GOLD = f"""gold as (select case_no, lower(trim(normalized_event)) normalized_event, lower(spl_set_id) set_id, nullif(lower(trim(expected_status)), '') expected_status, expected_supporting_quote, gold_review_complete from gold_case),
-p as (select g.case_no, g.expected_status, g.expected_supporting_quote, g.gold_review_complete, e.item_id, e.evidence_status, e.supporting_quote, count(e.item_id) over (partition by g.case_no) n_items,
-  row_number() over (partition by g.case_no order by coalesce(nullif(list_position([{', '.join(repr(s) for s in R.STATUSES)}], e.evidence_status), 0), 99),
-    coalesce(list_position(['high', 'medium', 'low'], e.extraction_confidence) - 1, 99), coalesce(list_position([{', '.join(repr(s) for s in evaluate.SUBJECTS)}], e.subject) - 1, 99),
-    coalesce(list_min(list_transform(e.evidence_context, lambda c: coalesce(list_position([{', '.join(repr(s) for s in evaluate.CONTEXTS)}], c) - 1, 99))), 99),
-    -((coalesce(length(trim(e.supporting_quote)), 0) > 0)::int + (coalesce(length(trim(e.source_path)), 0) > 0)::int + (coalesce(length(trim(e.chunk_hash)), 0) > 0)::int),
+_list = lambda values: "[" + ", ".join(repr(v) for v in values) + "]"
+PLANS = "plans(wanted, direct, searched) as (values " + ", ".join(f"('{k}', {_list(extract.event_plan(k).direct)}, {_list(extract.event_plan(k).terms)})" for k in extract.EVENT_OF) + ")"
+_says = lambda *words: "(" + " or ".join(f"contains(lower(e.supporting_quote), '{w}')" for w in words) + ")"
+SUPPORTED = f"""coalesce(case e.evidence_status when 'negated' then {_says('no cases', 'not observed', 'none observed')} when 'historical_or_preexisting' then {_says('pre-existing', 'preexisting', 'history of')} when 'comparator_only' then {_says('placebo', 'comparator', 'control')}
+      when 'interaction_dependent' then coalesce(len(e.interaction_context) > 0, false) or coalesce(list_contains(e.evidence_context, 'drug_interaction'), false) when 'explicit_positive' then e.assertion = 'present' and length(e.matched_term) > 0
+      when 'related_but_not_explicit' then e.assertion = 'uncertain' and length(e.matched_term) > 0 else true end, false)"""
+CHECKS = {
+    "supporting_quote": "coalesce(length(trim(e.supporting_quote)), 0) > 0",
+    "source_path": "(coalesce(length(e.source_path), 0) > 0 or coalesce(len(e.source_paths), 0) > 0)",
+    "chunk_hash": "(coalesce(length(e.chunk_hash), 0) > 0 or coalesce(len(e.chunk_hashes), 0) > 0)",
+    "event_or_synonym": "len(list_filter(searched, lambda t: contains(lower(coalesce(e.supporting_quote, '')), t))) > 0",
+    "classification_supported": SUPPORTED,
+}
+_word = lambda text, term: f"regexp_matches({text}, concat('(?i)(^|[^\\pL\\pM\\p{{Nd}}_])', replace({term}, ' ', '\\s+'), '([^\\pL\\pM\\p{{Nd}}_]|$)'))"
+_path = "coalesce(nullif(e.source_path, ''), e.source_paths[1], '')"
+_numbers = f"case when regexp_matches({_path}, '\\[[0-9]+\\]') then list_transform(regexp_extract_all({_path}, '\\[([0-9]+)\\]', 1), lambda x: x::int) else [{evaluate.LAST}] end"
+_clauses = "string_split(regexp_replace(coalesce(e.supporting_quote, ''), '([.!?;])\\s+', concat('\\1', chr(10)), 'g'), chr(10))"
+GOLD = f"""{PLANS}, gold as (select g.*, coalesce(direct, case when length(w) > 0 then [w] else [] end) direct, coalesce(searched, case when length(w) > 0 then [w] else [] end) searched from (select * replace (lower(trim(normalized_event)) as normalized_event, nullif(lower(trim(expected_status)), '') as expected_status),
+  lower(spl_set_id) set_id, trim(regexp_replace(lower(coalesce(event_query, '')), '[^a-z0-9]+', ' ', 'g')) w from gold_case) g left join plans on wanted = w),
+p as (select g.case_no, g.expected_status, g.expected_supporting_quote, g.gold_review_complete, g.expected_assertion, g.expected_subject, g.expected_context, g.expected_frequency_text, g.expected_comparator_text, g.expected_section, g.score_frequency, g.score_comparator, e.*, count(e.item_id) over (partition by g.case_no) n_items,
+  {", ".join(f"{c} has_{n}" for n, c in CHECKS.items())}, coalesce(length(trim(g.set_id)), 0) > 0 has_set_id,
+  row_number() over (partition by g.case_no order by coalesce(nullif(list_position({_list(R.STATUSES)}, e.evidence_status), 0), 99), case when list_contains(direct, lower(e.matched_term)) then 0 else 1 end,
+    coalesce(list_position(['high', 'medium', 'low'], e.extraction_confidence) - 1, 99), coalesce(list_position({_list(evaluate.SUBJECTS)}, e.subject) - 1, 99),
+    coalesce(list_min(list_transform(e.evidence_context, lambda c: coalesce(list_position({_list(evaluate.CONTEXTS)}, c) - 1, 99))), 99), -({" + ".join(f"({c})::int" for c in CHECKS.values())}),
     (coalesce(length(trim(e.supporting_quote)), 0) = 0 or regexp_matches(trim(e.supporting_quote), '^[\\p{{Ll}}\\)\\]}},;:]') or length(replace(e.supporting_quote, '(', '')) - length(replace(e.supporting_quote, ')', '')) > 0 or length(replace(e.supporting_quote, '[', '')) - length(replace(e.supporting_quote, ']', '')) > 0)::int,
-    case when regexp_matches(e.source_path, '\\[[0-9]+\\]') then list_transform(regexp_extract_all(e.source_path, '\\[([0-9]+)\\]', 1), lambda x: x::int) else [{evaluate.LAST}] end, coalesce(e.source_path, ''), e.item_id) r
+    case when len(list_filter({_clauses}, lambda c: {_word('c', 'e.drug_name')} and len(list_filter(direct, lambda t: {_word('c', 't')})) > 0)) > 0 then 0 when e.evidence_status = 'interaction_dependent' or e.assertion = 'conditional' or coalesce(len(e.interaction_context), 0) > 0 then 2 else 1 end,
+    {_numbers}, {_numbers}[-1], {_path}, e.item_id) r
   from gold g left join evidence e on e.set_id = g.set_id and e.normalized_event = g.normalized_event),
 best as (select * from p where r = 1)"""
 
 
 def gold_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = load(spark, sf_dir, "gold_case").select("case_no", "event_query", F.lower(F.trim("normalized_event")).alias("normalized_event"), F.lower("spl_set_id").alias("set_id"), F.nullif(F.lower(F.trim("expected_status")), F.lit("")).alias("expected_status"), "expected_supporting_quote", "gold_review_complete")
+    gold = load(spark, sf_dir, "gold_case").withColumns({"normalized_event": F.lower(F.trim("normalized_event")), "set_id": F.lower("spl_set_id"), "expected_status": F.nullif(F.lower(F.trim("expected_status")), F.lit(""))})
+    gold = gold.drop("drug_name", "rxcui")
     items = evidence(spark, sf_dir).drop("item_order")
     return evaluate.primary_items(gold, items, ["set_id", "normalized_event"], "item_id")
 

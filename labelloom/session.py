@@ -50,12 +50,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_TABLES: dict[str, list[str]] = {}
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the application ends, or before by ``release``."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    files, at = _at(spark, path)
+    files.deleteOnExit(at)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again, so its lineage is cut.
 
-    The table survives the loss of any executor.
+    The table survives the loss of any executor. See ``scratch`` for its end.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables of ``written`` once their results have been consumed; the number of tables."""
+    paths = _TABLES.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        files, at = _at(spark, path)
+        files.delete(at, True)
+    return len(paths)
