@@ -173,19 +173,6 @@ def chunk_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
-def chunk_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diagnostics of every label's chunks; text is compared in compatibility form without headings."""
-    return quality.diagnostics(load(spark, sf_dir, "label_chunk").withColumn("set_id", F.lower("set_id")))
-
-
-@query()
-def chunk_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks kept by quality assurance with their new index and hash, and whether the delivered hash was right."""
-    df = quality.checked(load(spark, sf_dir, "label_chunk").withColumn("set_id", F.lower("set_id"))).filter("state = 'kept'")
-    return df.select("chunk_id", "new_index", "new_hash", (F.lower("chunk_hash") == F.col("new_hash")).alias("hash_holds"))
-
-
 KEY = "case " + " ".join(f"when section_code = '{c}' then '{k}'" for c, (k, _) in R.SECTIONS.items()) + " else 'other' end"
 
 
@@ -242,13 +229,6 @@ def extracted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.merge_items(items).drop("source_text")
 
 
-@query()
-def parent_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List items with the paragraph that introduces their list."""
-    chunks = load(spark, sf_dir, "label_chunk").withColumn("set_id", F.lower("set_id"))
-    return extract.parent_context(extract.searchable(chunks)).filter("parent_context is not null").select("chunk_id", "parent_context")
-
-
 def _parts_sql() -> str:
     ex = lambda p, i: f"regexp_extract(frequency_text, '(?i){p}', {i})"
     m = lambda p: f"regexp_matches(frequency_text, '(?i){p}')"
@@ -269,14 +249,6 @@ def frequency_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("item_id", F.expr(N.parts("frequency_text")).alias("p")).select("item_id", "p.value", "p.unit")
 
 
-@query()
-def numeric_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every number or frequency word of the quotes with its role."""
-    df = load(spark, sf_dir, "evidence_item").select("item_id", "matched_term", "supporting_quote")
-    df = df.select("item_id", "matched_term", F.posexplode(F.expr(N.spans("supporting_quote"))).alias("span_no", "s"))
-    return df.select("item_id", "span_no", F.col("s.m").alias("span"), F.length("s.before").alias("at"), F.expr(N.role("s", "coalesce(matched_term, '')")).alias("role"))
-
-
 _list = lambda values: "[" + ", ".join(repr(v) for v in values) + "]"
 PLANS = "plans(wanted, direct, searched) as (values " + ", ".join(f"('{k}', {_list(extract.event_plan(k).direct)}, {_list(extract.event_plan(k).terms)})" for k in extract.EVENT_OF) + ")"
 _says = lambda *words: "(" + " or ".join(f"contains(lower(e.supporting_quote), '{w}')" for w in words) + ")"
