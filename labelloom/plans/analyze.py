@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import rules as R
 from labelloom.functions import text as X
-from labelloom.plans import extract, rollup
+from labelloom.plans import discover, evaluate, extract, rollup
 from labelloom.session import written
 
 
@@ -20,6 +20,16 @@ class Analysis:
     summary: DataFrame
 
 
+@dataclass
+class Run:
+    """A whole run: ranked usage, the representative drugs, their analysis, and the counts of its items."""
+
+    usage: DataFrame
+    selected: DataFrame
+    analysis: Analysis
+    counters: DataFrame
+
+
 def fallback_chunks(labels: DataFrame) -> DataFrame:
     """Chunks of labels without parsed XML, from their ``sections`` map in fixed order of keys; empty sections give none."""
     rows = ", ".join(f"named_struct('i', {i}, 'k', {X.lit(k)}, 'c', {X.lit(R.FALLBACK_CODES[k])}, 'n', {X.lit(R.SECTIONS[R.FALLBACK_CODES[k]][1])})" for i, k in enumerate(R.FALLBACK_KEYS))
@@ -67,11 +77,26 @@ def analyze(drugs: DataFrame, labels: DataFrame, chunks: DataFrame, event: str)
     lacking = drugs.join(searched, "rxcui", "left").filter(F.col("__searched").isNull())
     event_name = F.lit(plan.event)
     placeholder = {"normalized_event": event_name, "matched_term": event_name, "evidence_status": F.lit("insufficient_label_data"), "assertion": F.lit("uncertain"), "subject": F.lit("unclear"), "extraction_confidence": F.lit("low"), "postmarketing_only": F.lit(False)}
+    merged = rollup.merge_items(found)
+    # one placeholder a drug, so they aren't merged: drugs of the same name keep theirs apart
     columns = [
-        (placeholder[f.name] if f.name in placeholder else F.col(f.name) if f.name in ("rxcui", "drug_name") else F.lit("") if f.name == "supporting_quote" else F.array() if f.dataType.typeName() == "array" else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in found.schema
+        (placeholder[f.name] if f.name in placeholder else F.lit(1) if f.name == "merged" else F.col(f.name) if f.name in ("rxcui", "drug_name") else F.lit("") if f.name == "supporting_quote" else F.array() if f.dataType.typeName() == "array" else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in merged.schema
     ]
-    items = rollup.merge_items(found.unionByName(lacking.select(*columns)))
+    items = merged.unionByName(lacking.select(*columns))
     has = searched.withColumnRenamed("__searched", "has_chunks")
     rows = rollup.drug_evidence(drugs, labels.join(has, "rxcui", "left"), items, plan)
     return Analysis(items, rows, rollup.class_summary(rows, []))
+
+
+def run(members: DataFrame, usage: DataFrame, labels: DataFrame, chunks: DataFrame, event: str, top: int = 3) -> Run:
+    """From a class's members to its class row: usage matched by name and ranked, the ``top`` drugs, their labels searched for the event.
+
+    ``members``: rxcui, name, tty. ``usage``: generic_name, claims,
+    beneficiaries. ``labels`` and ``chunks`` as in ``analyze``.
+    """
+    ranked = written(discover.usage_by_member(members, usage), "usage")
+    selected = discover.representatives(ranked, top)
+    drugs = selected.select("rxcui", F.col("name").alias("drug_name"), F.col("generic_names").alias("cms_generic_names"), "rank")
+    result = analyze(drugs, labels, chunks, event)
+    return Run(ranked, selected, result, evaluate.result_counters(result.items))

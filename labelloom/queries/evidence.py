@@ -13,8 +13,8 @@ from labelloom.functions import assertion as A
 from labelloom.functions import numeric as N
 from labelloom.functions import rules as R
 from labelloom.functions import text as X
-from labelloom.plans import extract, quality
-from labelloom.queries.labels import KEY, LABEL, drugs_of_labels, query
+from labelloom.plans import analyze, extract, quality, rollup
+from labelloom.queries.labels import EVIDENCE, KEY, LABEL, PRIORITY, STATUS, drugs_of_labels, evidence, joined, query, selected_labels
 from labelloom.session import load
 from labelloom.sources import spl
 
@@ -92,10 +92,14 @@ for _short in ("e.g.", "i.e.", "U.S.", "Dr."):
 _guarded = f"regexp_replace({_guarded}, '\\b(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St)\\.( [A-Z])', '\\1{chr(0xE000)}\\2', 'g')"
 _sentences = f"list_filter(list_transform(string_split(regexp_replace({_guarded}, '([.!?]) ([A-Z0-9])', concat('\\1', chr(10), '\\2'), 'g'), chr(10)), lambda s: trim(replace(s, '{chr(0xE000)}', '.'))), lambda s: length(s) > 0)"
 _clauses = "list_filter(list_transform(string_split_regex(s, '\\s*;\\s*'), lambda c: regexp_replace(trim(c), '(?i)^(?:and|but|while|whereas)\\s+', '')), lambda c: length(c) > 0)"
-CLAUSES = f"""se as (select chunk_id, set_id, section_code, section_title, subsection_title, unnest({_sentences}) s, unnest(range(len({_sentences})))::int sentence_index from label_chunk),
+def _clause_sql(table: str, more: str = "") -> str:
+    return f"""se as (select chunk_id, set_id, section_code, section_title, subsection_title{more}, unnest({_sentences}) s, unnest(range(len({_sentences})))::int sentence_index from {table}),
 cc as (select *, unnest({_clauses}) c, unnest(range(len({_clauses})))::int clause_index from se)"""
 
 
+CLAUSES = _clause_sql("label_chunk")
+
+
 @query(f"with {CLAUSES} select chunk_id, sentence_index, clause_index, c clause from cc")
 def sentence_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every clause of every sentence of the chunks."""
@@ -107,9 +111,10 @@ EDGE = r"[^\pL\pM\p{Nd}\p{Pc}\x{200c}\x{200d}]"
 _term = lambda t: t.replace(" ", r"\s+")
 _names = lambda text, t: f"regexp_matches({text}, '(?i)(^|{EDGE}){_term(t)}({EDGE}|$)')"
 _first = lambda terms: "case " + " ".join(f"when {_names('c', t)} then '{t}'" for t in terms) + " end" if terms else "null::varchar"
-MENTIONS = f"""{CLAUSES}, hits as ({" union all ".join(f"select *, '{e}' normalized_event, {_first(d)} d, {_first(r)} r from cc" for e, (d, r) in R.EVENTS.items())}),
+HITS = f"""hits as ({" union all ".join(f"select *, '{e}' normalized_event, {_first(d)} d, {_first(r)} r from cc" for e, (d, r) in R.EVENTS.items())}),
 direct as (select *, bool_or(d is not null) over (partition by chunk_id, normalized_event) direct from hits where d is not null or r is not null),
 mn as (select *, case when direct then d else r end matched_term from direct where case when direct then d else r end is not null)"""
+MENTIONS = f"{CLAUSES}, {HITS}"
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,16 +146,16 @@ def _has(text: str, template: str) -> str:
 _any = lambda text, templates: "(" + " or ".join(_has(text, p) for p in templates) + ")"
 _word = lambda text, w: f"regexp_matches({text}, concat('(?i)(^|{EDGE})', {w}, '({EDGE}|$)'))"
 CORE = "|".join(f"(?:{p})" for p in R.CORE_INTERACTIONS)
-VERDICTS = f"""{MENTIONS}, {LABEL}, dg as (select lower(selected_spl_set_id) set_id, rxcui, requested_name drug_name from label where label_match_confidence <> 'low'),
-md as (select mn.* exclude (set_id), dg.*, {KEY.replace('section_code', 'mn.section_code')} = 'drug_interactions' isec from mn join dg on dg.set_id = lower(mn.set_id)),
-pl as (select *, coalesce(list_filter(string_split(c, ';'), lambda x: {_word('x', _t)})[1], c) own, length(regexp_extract(c, concat('(?is)^(|.*?{EDGE})', {_t}, '(?:{EDGE}|$)'), 1)) + 1 a,
+_SCOPED = f"""md as (select mn.* exclude (set_id), dg.*, {KEY.replace('section_code', 'mn.section_code')} = 'drug_interactions' isec from mn join dg on dg.set_id = lower(mn.set_id))"""
+_VERDICT = f"""pl as (select *, coalesce(list_filter(string_split(c, ';'), lambda x: {_word('x', _t)})[1], c) own, length(regexp_extract(c, concat('(?is)^(|.*?{EDGE})', {_t}, '(?:{EDGE}|$)'), 1)) + 1 a,
   length(regexp_extract(c, concat('(?i)(?:^|{EDGE})(', {_t}, ')(?:{EDGE}|$)'), 1)) tl, case when regexp_matches(c, {_sql('(?i)' + CORE)}) then length(regexp_extract(c, {_sql('(?is)^(.*?)(?:' + CORE + ')')}, 1)) + 1 end i from md),
 ed as (select *, substring(c, a + tl, i - a - tl) btw from pl),
 eb as (select *, case when a < i and {_has('btw', R.CLAUSE_BOUNDARY)} then left(c, a + tl - 1 + length(regexp_extract(btw, {_sql('(?is)^(.*?)' + R.CLAUSE_BOUNDARY)}, 1))) end prim from ed),
 vd as (select *, case when {_any('own', R.NEGATED)} then 'negated' when {_has('c', R.COMPARATOR_ONLY)} then 'comparator_only'
   when (isec or i is not null) and not coalesce({_word('prim', _d)} or {_has('prim', R.DRUG_EFFECT)}, false) then 'interaction_dependent'
-  when ({_has('c', r'\b{t}\b')} and (contains(lower(c), 'underlying condition') or {_any('c', R.HISTORICAL)})) or (({_has('s', R.HISTORICAL_PARENT)} or {_has('s', R.HISTORICAL_DRUG)}) and {_has('s', r'\b{t}\b')}) then 'historical_or_preexisting'
+  when ({_has('c', r'\b{t}\b')} and (contains(lower(c), 'underlying condition') or {_any('c', R.HISTORICAL)})) or (({_has('cx', R.HISTORICAL_PARENT)} or {_has('cx', R.HISTORICAL_DRUG)}) and {_has('cx', r'\b{t}\b')}) then 'historical_or_preexisting'
   when {_any('c', R.DESCRIPTIVE)} or not direct then 'related_but_not_explicit' else 'explicit_positive' end evidence_status from eb)"""
+VERDICTS = f"""{MENTIONS}, {LABEL}, dg as (select lower(selected_spl_set_id) set_id, rxcui, requested_name drug_name from label where label_match_confidence <> 'low'), {_SCOPED.replace("isec from", "isec, s cx from")}, {_VERDICT}"""
 
 
 @query(
@@ -326,6 +331,101 @@ def table_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("chunk_id", "rxcui", "column_no", "header", F.expr(N.comparator_name("header")).alias("comparator"), F.expr(N.header_matches("header", "array(drug_name)")).alias("names_drug"))
 
 
+_share = lambda i: f"regexp_extract_all(supporting_quote, {_sql('(?i)' + R.SHARE_OF_POPULATION)}, {i})"
+
+
+@query(f"select item_id, array_to_string(list_transform(list_zip({_share(1)}, {_share(2)}), lambda z: concat({_clean('z[1]')}, ' of ', {_clean('z[2]')})), '|') variants from evidence_item where len({_share(0)}) > 0")
+def population_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of named populations that a quote states, one variant each."""
+    df = load(spark, sf_dir, "evidence_item").select("item_id", F.expr(N.text_variants("supporting_quote", "cast(null as string)")).alias("v")).filter("size(v) > 0")
+    return df.select("item_id", F.array_join(F.transform("v", lambda v: F.concat(v["frequency_text"], F.lit(" of "), v["population"][0])), "|").alias("variants"))
+
+
+# ---------------------------------------------------------------- whole analyses
+
+EVENT = "low blood pressure"
+
+
+def analysis_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Drugs in use, their selected labels (those without parsed XML have no sections here) and the chunks."""
+    usage = load(spark, sf_dir, "drug_usage")
+    drugs = usage.groupBy("member.rxcui").agg(F.min("member.name").alias("drug_name"), F.array_distinct(F.flatten(F.collect_list("cms_generic_names"))).alias("cms_generic_names"), F.lit(0).alias("rank"))
+    labels = selected_labels(spark, sf_dir).withColumns({"selected_label_product": F.lit(None).cast("map<string,string>"), "sections": F.create_map(F.lit("warnings"), F.lit(" "), F.lit("contraindications"), F.concat(F.lit("Do not give "), "requested_name", F.lit(" in known hypotension.")))})
+    return drugs, labels, chunks(spark, sf_dir)
+
+
+_alone = lambda x: f"(select case when count(distinct route) = 1 then any_value(route) end from (select unnest([{', '.join(f"case when regexp_matches({x}, {_sql('(?i)' + p)}) then '{r}' end" for _, r, p in R.ROUTE_CLUES)}]) route) where route is not null)"
+ANALYSIS = f"""{SEARCHABLE}, {LABEL}, us as (select member.rxcui rxcui, min(member.name) drug_name, string_agg(array_to_string(cms_generic_names, ' '), ' ') cms from drug_usage group by 1),
+dg as (select lower(selected_spl_set_id) set_id, us.rxcui, drug_name, concat_ws(' ', drug_name, requested_name, cms, array_to_string(generic_names, ' '), array_to_string(brand_names, ' '), array_to_string(substance_names, ' ')) product, extraction_source = 'dailymed_spl_xml' parsed, coalesce(lower(label_match_confidence) <> 'low', false) usable, requested_name from us join label on label.rxcui = us.rxcui),
+lp as (select i.chunk_id, max(r.pos) place from ps i join ps r on r.set_id = i.set_id and r.retrieved_at = i.retrieved_at and r.pos < i.pos and not (r.chunk_type = 'list_item' and r.lst is not distinct from i.lst and r.section_code is not distinct from i.section_code and r.section_title is not distinct from i.section_title
+  and r.subsection_title is not distinct from i.subsection_title) where i.chunk_type = 'list_item' group by all),
+pp as (select i.*, p.text parent from ps i left join lp using (chunk_id) left join ps p on p.set_id = i.set_id and p.retrieved_at = i.retrieved_at and p.pos = lp.place and p.chunk_type = 'paragraph' and p.section_code is not distinct from i.section_code and p.section_title is not distinct from i.section_title and p.subsection_title is not distinct from i.subsection_title),
+src as (select pp.chunk_id, pp.set_id, rxcui, section_code, section_title, subsection_title, text, chunk_type, parent from pp join dg on dg.set_id = pp.set_id where parsed and usable
+  union all select -row_number() over (order by rxcui), null, rxcui, '34070-3', 'Contraindications', null, concat('Do not give ', requested_name, ' in known hypotension.'), 'section_text', null from dg where usable and not parsed),
+{_clause_sql('src', ', rxcui, chunk_type, parent')}, {HITS},
+md as (select mn.* exclude (set_id, rxcui), dg.*, {KEY.replace('section_code', 'mn.section_code')} = 'drug_interactions' isec, case when chunk_type = 'list_item' and length(trim(parent)) > 0 then concat({_clean('parent')}, ' ', s) else s end cx, {_centre} centre from mn join dg on dg.rxcui = mn.rxcui where normalized_event = 'hypotension'), {_VERDICT},
+mc as (select * from vd), cl as ({" union all ".join(_clue(i, *clue).replace("select chunk_id, normalized_event", "select chunk_id, rxcui, normalized_event") for i, clue in enumerate(R.ROUTE_CLUES))}),
+pc as (select *, list_sum(list_transform(pieces[1:k], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(ms[1:k-1], lambda x: length(x))), 0)::bigint place from cl),
+nr as (select chunk_id, rxcui, sentence_index, clause_index, arg_min(route, (abs(2 * place + length(m) - centre), place, place + length(m), clue, route)) r1 from pc group by all),
+rt as (select vd.*, coalesce(r1, {_alone('subsection_title')}, {_alone('section_title')}) rown, {_alone('product')} rother, case when r1 is not null then c when {_alone('subsection_title')} is not null then subsection_title else section_title end place_text from vd left join nr using (chunk_id, rxcui, sentence_index, clause_index)),
+fi as (select *, {_forms(_found('place_text'))} fo, {_forms(_found('product'))} fp from rt), fit as (select *, case when rown is null then 'unrestricted_route' when rother is null then 'ambiguous_route' when rown <> rother then 'route_mismatch'
+  when len(list_filter(fo, lambda f: rown = case when f in ('gel', 'cream') then 'topical' else 'oral' end)) > 0 and len(list_filter(fp, lambda f: rother = case when f in ('gel', 'cream') then 'topical' else 'oral' end)) > 0
+    and len(list_intersect(list_filter(fo, lambda f: rown = case when f in ('gel', 'cream') then 'topical' else 'oral' end), list_filter(fp, lambda f: rother = case when f in ('gel', 'cream') then 'topical' else 'oral' end))) = 0 then 'route_mismatch' else 'matching_route' end fits from fi),
+fs as (select rxcui, case when fits = 'route_mismatch' then 'insufficient_label_data' when fits = 'ambiguous_route' and evidence_status in ('explicit_positive', 'negated') then 'related_but_not_explicit' else evidence_status end evidence_status from fit),
+bs as (select rxcui, list_min(list(list_position([{', '.join(f"'{v}'" for v in R.STATUSES)}], evidence_status))) p from fs group by rxcui), sd as (select distinct rxcui from src),
+an as (select us.rxcui, case when bs.p is not null then [{', '.join(f"'{v}'" for v in R.STATUSES)}][bs.p] when sd.rxcui is not null then 'not_found' else 'insufficient_label_data' end evidence_status from us left join bs using (rxcui) left join sd using (rxcui))"""
+
+
+@query(f"with {ANALYSIS} select * from an")
+def drug_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of every drug in use for one event, from its label's chunks through clauses, rules and routes; labels without parsed chunks by their sections."""
+    return analyze.analyze(*analysis_input(spark, sf_dir), EVENT).drugs.select("rxcui", "evidence_status")
+
+
+@query(
+    f"""with {ANALYSIS}, c as (select count(*) n, count(*) filter (evidence_status = 'explicit_positive') x, count(*) filter (evidence_status = 'insufficient_label_data') i from an)
+select n drugs_analyzed, x n_explicit_positive, i n_insufficient_label_data, case when n = 0 or 2 * i > n then 'insufficient_class_evidence' when x >= 2 and 3 * x >= 2 * n then 'consistent_label_evidence' when x >= 1 then 'partial_or_mixed_label_evidence' else 'no_explicit_mentions_found' end class_assessment from c"""
+)
+def class_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class row of the same analysis."""
+    return analyze.analyze(*analysis_input(spark, sf_dir), EVENT).summary.select("drugs_analyzed", "n_explicit_positive", "n_insufficient_label_data", "class_assessment")
+
+
+_hash = r"sha256(concat_ws('|', set_id, code, path, trim(regexp_replace(lower(nfc_normalize(text)), '[^\p{L}\p{N}%]+', ' ', 'g'))))"
+
+
+@query(
+    f"""with {LABEL}, s as (select rxcui, coalesce(selected_spl_set_id, 'openfda-set-id-unavailable') set_id, spl_version as version, coalesce(spl_effective_time, effective_time) effective_time, '34070-3' code, 'Contraindications' section_title, '/openfda/sections/contraindications' path, 4 chunk_index, concat('Do not give ', requested_name, ' in known hypotension.') as text from label)
+select rxcui, set_id, version, effective_time, code section_code, section_title, chunk_index, text, path source_path, {_hash} chunk_hash from s"""
+)
+def fallback_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of labels' plain sections in their fixed order, blank ones left out."""
+    df = analyze.fallback_chunks(analysis_input(spark, sf_dir)[1])
+    return df.select("rxcui", "set_id", "version", "effective_time", "section_code", "section_title", "chunk_index", "text", "source_path", "chunk_hash")
+
+
+NOTES = {"rules": rollup.NOTE_RULES, "none": rollup.NOTE_NO_LABEL, "low": rollup.NOTE_LOW, "fallback": rollup.NOTE_FALLBACK, "positive": rollup.NOTE_POSITIVE, "related": rollup.NOTE_RELATED, "absence": rollup.ABSENCE}
+_note = {k: _sql(v) for k, v in NOTES.items()}
+
+
+@query(
+    f"""with {EVIDENCE}, {LABEL}, us as (select member.rxcui rxcui, min(member.name) drug_name from drug_usage group by 1), it as (select * from evidence where normalized_event = 'hypotension'),
+st as (select rxcui, arg_min(evidence_status, {PRIORITY.replace(STATUS, 'evidence_status')}) s, count(*) n from it group by rxcui), qs as (select *, {KEY} section_key from it where length(supporting_quote) > 0),
+se as (select rxcui, string_agg(section_key, '|' order by o) matched_sections from (select rxcui, section_key, min(item_id) o from qs group by all) group by rxcui),
+sn as (select rxcui, string_agg(supporting_quote, '|' order by item_id) snippets from (select *, row_number() over (partition by rxcui order by item_id) r from qs) where r <= 10 group by rxcui)
+select us.rxcui, coalesce(s, 'not_found') evidence_status, coalesce(n, 0) n_items, coalesce(matched_sections, '') matched_sections, coalesce(snippets, '') snippets, concat_ws('|', {_note['rules']}, case when label_no is null then {_note['none']} when lower(label_match_confidence) = 'low' then {_note['low']} when extraction_source <> 'dailymed_spl_xml' then {_note['fallback']} end,
+  case coalesce(s, 'not_found') when 'explicit_positive' then {_note['positive']} when 'related_but_not_explicit' then {_note['related']} end, case when coalesce(s, 'not_found') in ('negated', 'historical_or_preexisting', 'comparator_only', 'not_found', 'insufficient_label_data') then {_note['absence']} end) limitations
+from us left join st using (rxcui) left join label using (rxcui) left join se using (rxcui) left join sn using (rxcui)"""
+)
+def drug_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every drug's status for one event with its sections, its first ten quotes and the notes on limits."""
+    drugs, labels, _ = analysis_input(spark, sf_dir)
+    items = evidence(spark, sf_dir).filter("normalized_event = 'hypotension'").drop("drug_name")
+    df = rollup.drug_evidence(drugs, labels.withColumn("has_chunks", F.lit(True)), items, extract.event_plan(EVENT))
+    quotes = F.coalesce(F.array_join(F.transform("evidence_snippets", lambda x: x["text"]), "|"), F.lit(""))
+    return df.select("rxcui", "evidence_status", "n_items", joined("matched_sections"), quotes.alias("snippets"), joined("limitations"))
+
+
 # ---------------------------------------------------------------- label XML
 
 _escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
