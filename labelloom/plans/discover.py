@@ -164,26 +164,6 @@ def best_label(labels: DataFrame, keys: list[Column]) -> DataFrame:
     return labels.withColumn("__n", F.row_number().over(top)).filter("__n = 1").drop("__n")
 
 
-def relation_rollup(relations: DataFrame, keys: list[str], examples: int = 5) -> DataFrame:
-    """Per key: sorted distinct relations and sources, whether any is direct, counts, and the first example names.
-
-    ``relations`` has relation, source, direct, example and ord.
-    """
-    known = {s: i for i, s in enumerate(SOURCE_ORDER)}
-    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.upper("source")), F.lit(50))
-    firsts = relations.groupBy(*keys, "example").agg(F.min("ord").alias("o"))
-    top = firsts.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("o", "example"))).filter(F.col("__n") <= examples)
-    shown = top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "example"))), lambda x: x["example"]).alias("examples"))
-    df = relations.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_set(F.struct(F.lower("relation").like("%extended%").alias("x"), F.lower("relation").alias("l"), "relation"))), lambda r: r["relation"]).alias("relations"),
-        F.transform(F.array_sort(F.collect_set(F.struct(rank.alias("r"), F.lower("source").alias("l"), "source"))), lambda r: r["source"]).alias("sources"),
-        F.bool_or("direct").alias("direct"),
-        F.count_if("direct").alias("n_direct"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    return df.join(shown, keys, "left")
-
-
 def max_overlap(left: DataFrame, right: DataFrame, keys: list[str], item: str, group: str) -> DataFrame:
     """Per key of ``left``: the largest number of its items that one group of ``right`` shares (0 if none).
 

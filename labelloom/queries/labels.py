@@ -436,42 +436,6 @@ def search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.cascade(df, "rxcui", "o", stops).select("label_no", "rxcui", "query_field")
 
 
-@query(
-    """with e as (select rxcui, lower(trim(normalized_event)) ev, item_id from evidence_item), f as (select rxcui, ev, min(item_id) o, count(*) c from e group by all), t as (select *, row_number() over (partition by rxcui order by o) r from f)
-select rxcui, sum(c)::bigint n, string_agg(ev, '|' order by ev) relations, string_agg(ev, '|' order by o) filter (r <= 5) examples from t group by rxcui"""
-)
-def relation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per drug the distinct events, their number of items and the first five seen."""
-    df = load(spark, sf_dir, "evidence_item").select("rxcui", F.lower(F.trim("normalized_event")).alias("relation"), F.col("section_code").alias("source"), F.col("postmarketing_only").alias("direct"), F.lower(F.trim("normalized_event")).alias("example"), F.col("item_id").alias("ord"))
-    return discover.relation_rollup(df, ["rxcui"]).select("rxcui", "n", joined("relations"), joined("examples"))
-
-
-@query(
-    """with e as (select distinct rxcui, lower(trim(normalized_event)) ev from evidence_item),
-r as (select distinct set_id g, lower(trim(normalized_event)) ev from evidence_item where extraction_confidence = 'low'), s as (select rxcui, g, count(*) n from e join r using (ev) group by all), b as (select rxcui, max(n) n from s group by rxcui)
-select rxcui, coalesce(n, 0) overlap from (select distinct rxcui from e) left join b using (rxcui)"""
-)
-def max_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per drug the largest number of its events that one label with doubtful items shares."""
-    df = load(spark, sf_dir, "evidence_item").select("rxcui", F.lower(F.trim("normalized_event")).alias("ev"), F.col("set_id").alias("g"), "extraction_confidence")
-    return discover.max_overlap(df.select("rxcui", "ev"), df.filter("extraction_confidence = 'low'").select("g", "ev"), ["rxcui"], "ev", "g")
-
-
-@query(
-    """select chunk_id, case when chunk_type = 'table_note' then 'technical' when subsection_title is null and table_id is null then 'primary' when table_id is not null and row_index = 0 then 'first_row' when table_id is not null then 'row'
-  when subsection_title like '%>%' or subsection_title like '%›%' then 'nested' else 'other' end bucket from label_chunk where section_code in ('34084-4', '34070-3') and character_count between 50 and 400"""
-)
-def disjoint_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of two sections and usual length in one of six disjoint buckets."""
-    df = load(spark, sf_dir, "label_chunk").filter(F.col("section_code").isin("34084-4", "34070-3") & F.col("character_count").between(50, 400))
-    table, title = F.col("table_id").isNotNull(), F.col("subsection_title")
-    bucket = (
-        F.when(F.col("chunk_type") == "table_note", "technical").when(title.isNull() & ~table, "primary").when(table & (F.col("row_index") == 0), "first_row").when(table, "row")
-        .when(title.like("%>%") | title.like("%›%"), "nested").otherwise("other")
-    )
-    return df.select("chunk_id", bucket.alias("bucket"))
-
-
 @query("select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) net from lineitem where l_returnflag in ('A', 'R') and l_quantity between 10 and 20")
 def scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pruned scan with pushed-down filters."""
