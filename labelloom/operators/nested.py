@@ -85,7 +85,9 @@ def json_nodes(df: DataFrame, id_column: str, text: str, list_keys: tuple[str, .
     that JSON. Null, blank and unparseable texts have no nodes, nor have texts
     with anything behind the JSON. Of a repeated key the last value counts; the
     session is set to allow them. The walk is as deep as the text, which the
-    parser reads up to DEEPEST levels; a deeper text has no nodes.
+    parser reads up to DEEPEST levels; a deeper text has no nodes. Keys stand
+    in paths as they are, so a key with a point or bracket can make two paths
+    alike; ``unread`` tells which texts had no nodes.
     """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     rows = df.select(F.col(id_column).alias("record_id"), F.col(text).alias("__text"))
@@ -93,6 +95,12 @@ def json_nodes(df: DataFrame, id_column: str, text: str, list_keys: tuple[str, .
     return nodes
 
 
+def unread(nodes: DataFrame, df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """record_id and error of the texts without nodes: ``blank`` (null, empty or white space) or ``not JSON`` (also cut off, with something behind it, or too deep)."""
+    rows = df.select(F.col(id_column).alias("record_id"), F.when(F.length(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))) > 0, "not JSON").otherwise("blank").alias("error"))
+    return rows.join(nodes.filter("nodes is null").select("record_id").distinct(), "record_id", "left_semi")
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """One row per node: record_id, parent_path, child_path."""
     pairs = F.expr("transform(nodes, n -> named_struct('parent_path', n.parent, 'child_path', n.path))")
@@ -103,9 +111,10 @@ def table(nodes: DataFrame, collection: str, columns: dict[str, str]) -> DataFra
     """The flat table of one collection: record_id, parent_path, path, ordinal and ``columns``.
 
     ``columns`` maps a column's name to its type; a field that is missing, null
-    or of another type is null.
+    or of another type is null. A name with points is that of a field within
+    an object; its column has underscores instead.
     """
-    fields = ", ".join(f"'{c}', try_variant_get(n.v, '$.{c}', '{t}')" for c, t in columns.items())
+    fields = ", ".join(f"'{c.replace('.', '_')}', try_variant_get(n.v, '$.{c}', '{t}')" for c, t in columns.items())
     ordinal = "int(regexp_extract(n.path, '\\\\[([0-9]+)\\\\]$', 1))"
     rows = F.expr(f"transform(filter(nodes, n -> n.collection = '{collection}'), n -> named_struct('parent_path', n.parent, 'path', n.path, 'ordinal', {ordinal}, {fields}))")
     return nodes.select("record_id", F.inline(rows))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.operators import nested, quantities
-from labelloom.operators.history import FOREVER, history
+from labelloom.operators.history import FOREVER, change_events, history
 from labelloom.operators.timestamps import normalize_timestamps
 from labelloom.session import load
 
@@ -44,17 +44,65 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.col("quantity").isNotNull()).select("item_id", "quantity", "value_e4")
 
 
+#: Collections of the runs' results and the columns of their flat tables.
+TABLES = {
+    "class_members": {"rxcui": "string", "name": "string", "tty": "string"},
+    "selected_drugs": {"member.rxcui": "string", "member.name": "string", "rank": "bigint", "total_claims": "bigint"},
+    "labels": {"rxcui": "string", "selected_spl_set_id": "string"},
+    "spl_chunks": {"chunk_index": "bigint", "chunk_type": "string", "source_path": "string", "text": "string", "subsection_title": "string"},
+    "drug_event_evidence": {"drug_name": "string", "rxcui": "string", "evidence_status": "string", "event_query": "string"},
+    "evidence_snippets": {"section": "string", "matched_term": "string", "text": "string"},
+    "event_evidence_items": {"drug_name": "string", "evidence_status": "string", "frequency_text": "string"},
+    "frequencies": {"text": "string", "ord": "bigint"},
+    "source_details": {"source": "string", "record_count": "bigint"},
+    "drivers": {"rxcui": "string", "weight": "bigint"},
+}
+
+
+def run_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.json_nodes(load(spark, sf_dir, "analysis_run"), "run_id", "results_json")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = nested.links(nested.json_nodes(load(spark, sf_dir, "analysis_run"), "run_id", "results_json"))
+    runs = nested.links(run_nodes(spark, sf_dir))
     chunks = nested.path_links(load(spark, sf_dir, "label_chunk"), "chunk_id", "source_path")
     named = lambda df, table: df.select(F.lit(table).alias("source_table"), "record_id", "parent_path", "child_path")
     return named(runs, "analysis_run").unionByName(named(chunks, "label_chunk"))
 
 
-def p7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat table of label chunks held in the runs' results."""
-    nodes = nested.json_nodes(load(spark, sf_dir, "analysis_run"), "run_id", "results_json")
-    return nested.table(nodes, "spl_chunks", {"chunk_index": "bigint", "chunk_type": "string", "source_path": "string", "text": "string", "subsection_title": "string"})
+def p7_table(collection: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The query of one collection's flat table, each row with its parent's path."""
+    return lambda spark, sf_dir: nested.table(run_nodes(spark, sf_dir), collection, TABLES[collection])
+
+
+def p7_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs whose results hold no JSON, and why."""
+    runs = load(spark, sf_dir, "analysis_run")
+    return nested.unread(run_nodes(spark, sf_dir), runs, "run_id", "results_json")
+
+
+_KEYS = ", ".join(f"'{k}'" for k in nested.LIST_KEYS)
+# The same walk as a recursive query.
+P7_NODES = f"""nodes as (select run_id, '$' path, '$' parent, null::varchar collection, false element, results_json::json v from analysis_run where json_valid(results_json)
+  union all select run_id, path, parent, collection, element, v from (
+    select run_id, case when lone then concat(path, '.', k, '[0]') else concat(path, '.', k) end path, case when element then path else parent end parent, k collection, lone element, w v from (
+      select *, k in ({_KEYS}) and json_type(w) = 'OBJECT' lone from (select *, case when k in ({_KEYS}) and json_type(c) = 'VARCHAR' and json_valid(c ->> '$') then (c ->> '$')::json else c end w from (
+        select n.*, k, json_extract(v, concat('$."', k, '"')) c from nodes n, unnest(json_keys(v)) t(k) where json_type(v) = 'OBJECT')))
+    union all select run_id, concat(path, '[', i, ']'), parent, collection, true, json_extract(v, concat('$[', i, ']')) from nodes, unnest(range(json_array_length(v)::bigint)) t(i) where json_type(v) = 'ARRAY')
+  where json_type(v) in ('OBJECT', 'ARRAY'))"""
+P7_ELEMENTS = "elements as (select *, case when element then path end own from nodes where element and json_type(v) = 'OBJECT')"
+# the parent of a member is its own element, of an array's item that of the array
+P7_SQL = f"""with recursive {P7_NODES}, {P7_ELEMENTS}, s as (select chunk_id, list_filter(string_split(regexp_replace(lower(source_path), '\\s+', '', 'g'), '/'), lambda x: length(x) > 0) s from label_chunk)
+select 'analysis_run' source_table, run_id record_id, parent parent_path, path child_path from elements
+union all select 'label_chunk', chunk_id, array_to_string(list_filter(s, lambda x: regexp_matches(x, '^(sub)?section(\\[|$)')), '/'), array_to_string(s, '/') from s where len(list_filter(s, lambda x: regexp_matches(x, '^subsection(\\[|$)'))) > 0"""
+P7_UNREAD_SQL = "select run_id record_id, case when length(trim(regexp_replace(coalesce(results_json, ''), '\\s+', ' ', 'g'))) > 0 then 'not JSON' else 'blank' end error from analysis_run where not coalesce(json_valid(results_json), false)"
+
+
+def p7_table_sql(collection: str) -> str:
+    """A collection's flat table in DuckDB's SQL."""
+    field = lambda c, t: f"try_cast(v ->> '$.{c}' as bigint) {c.replace('.', '_')}" if t == "bigint" else f"v ->> '$.{c}' {c.replace('.', '_')}"
+    fields = ", ".join(field(c, t) for c, t in TABLES[collection].items())
+    return f"with recursive {P7_NODES}, {P7_ELEMENTS} select run_id record_id, parent parent_path, path, regexp_extract(path, '\\[([0-9]+)\\]$', 1)::int ordinal, {fields} from elements where collection = '{collection}'"
 
 
 def p7_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +140,27 @@ l as (select *, lag(state) over (partition by set_id order by retrieved_at) befo
 select set_id, state[1] version_no, strftime(retrieved_at, '%Y-%m-%d %H:%M:%S') valid_from, coalesce(strftime(lead(retrieved_at) over (partition by set_id order by retrieved_at), '%Y-%m-%d %H:%M:%S'), '{FOREVER}') valid_to from k"""
 
 
+# Problem 1 with the labels of a month as one snapshot, so that a label not delivered in a month is gone then.
+EVENTS_SQL = f"""with {P2_MOMENTS}, s as (select lower(set_id) set_id, date_trunc('month', retrieved_at) as at_month, min((try_cast(regexp_replace(lower(trim(version)), '^(version|v) ?|[.]0+$', '', 'g') as bigint), epoch_s)) state from label_chunk join m on source_table = 'label_chunk' and record_id = chunk_id
+  where epoch_s is not null and try_cast(regexp_replace(lower(trim(version)), '^(version|v) ?|[.]0+$', '', 'g') as bigint) is not null group by all),
+k as (select at_month, row_number() over (order by at_month) i from (select distinct at_month from s)), x as (select s.*, i from s join k using (at_month)),
+e as (select a.set_id, a.i, case when b.set_id is null then 'inserted' when a.state is distinct from b.state then 'changed' end change, a.state from x a left join x b on a.set_id = b.set_id and b.i = a.i - 1
+  union all select b.set_id, b.i + 1, 'deleted', null from x b left join x a on a.set_id = b.set_id and a.i = b.i + 1 where a.set_id is null and b.i < (select max(i) from k))
+select set_id, strftime(at_month, '%Y-%m') as month, change, state[1] version_no from e join k using (i) where change is not null"""
+
+
+def p1_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was inserted, changed and deleted from one month's labels to the next."""
+    states = version_states(load(spark, sf_dir, "label_chunk")).withColumn("at_month", F.date_trunc("month", "retrieved_at"))
+    events = change_events(states, ["set_id"], "at_month", ["version_no", "effective_s"], scope="global", bucket="year")
+    return events.select("set_id", F.date_format("at_month", "yyyy-MM").alias("month"), "change", "version_no")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_chunks": p7_chunks, "p7_sections": p7_sections}
+    plain = {"p1_found": p1_found, "p1_events": p1_events, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_sections": p7_sections, "p7_unread": p7_unread}
+    return plain | {f"p7_{c}": p7_table(c) for c in TABLES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_found": quantities.found_sql(), "p7_sections": P7_SECTIONS_SQL}
+    plain = {"p1_found": P1_SQL, "p1_events": EVENTS_SQL, "p2_found": P2_SQL, "p3_found": quantities.found_sql(), "p7_found": P7_SQL, "p7_sections": P7_SECTIONS_SQL, "p7_unread": P7_UNREAD_SQL}
+    return plain | {f"p7_{c}": p7_table_sql(c) for c in TABLES}
