@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.plans import classes, discover, labels
+from labelloom.plans import analyze, classes, discover, labels
+from labelloom.queries import evidence
 from labelloom.queries.labels import CORE_SQL, NAME_SQL, joined, query
 from labelloom.session import load, scratch, written
 from labelloom.sources import snapshots
@@ -222,25 +223,41 @@ def exact_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.exact_candidates(ids, properties(spark, sf_dir)).select("query", "rxcui", F.col("position").cast("bigint"))
 
 
-@query(
-    f"""with m as (select distinct member.rxcui rxcui, member.name as name, member.tty tty from drug_usage), g as (select unnest(cms_generic_names) generic_name, total_claims::bigint claims, case when usage_no % 5 > 0 then total_beneficiaries::bigint end bene from drug_usage),
+MATCHED = f"""m as (select distinct member.rxcui rxcui, member.name as name, member.tty tty from drug_usage), g as (select unnest(cms_generic_names) generic_name, total_claims::bigint claims, case when usage_no % 5 > 0 then total_beneficiaries::bigint end bene from drug_usage),
 x as (select *, {NAME_SQL.format('name')} a, {NAME_SQL.format('generic_name')} b, {CORE_SQL.format('name')} ca, {CORE_SQL.format('generic_name')} cb from m join g on array_to_string(list_sort({CORE_SQL.format('name')}), ' ') = array_to_string(list_sort({CORE_SQL.format('generic_name')}), ' ')),
 y as (select *, case when length(a) = 0 or length(b) = 0 then null when a = b then 'exact' when regexp_matches(generic_name, '[/+]') and tty <> 'MIN' then null when tty = 'IN' and string_split(a, ' ') = ca and ca = cb and len(string_split(b, ' ')) > len(cb) then 'salt-normalized'
   when tty = 'MIN' and list_sort(ca) = list_sort(cb) then 'combination-normalized' end q from x),
-z as (select *, case q when 'exact' then 'Exact normalized generic-name match.' when 'salt-normalized' then concat('Approximate salt-normalized match: RxClass "', name, '" to CMS "', generic_name, '".') else concat('Approximate combination/salt normalization: RxClass "', name, '" to CMS "', generic_name, '".') end note from y where q is not null)
-select rxcui, sum(claims)::bigint total_claims, sum(bene)::bigint total_beneficiaries, string_agg(distinct q, ', ' order by q) match_quality, string_agg(distinct note, ' ' order by note) match_note, row_number() over (order by sum(claims) desc, coalesce(sum(bene), 0) desc, lower(min(name)), rxcui) as rank from z group by rxcui qualify rank <= 3"""
-)
-def top_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three drugs used most, from landed national usage rows matched by name, with the notes on the matches."""
+z as (select *, case q when 'exact' then 'Exact normalized generic-name match.' when 'salt-normalized' then concat('Approximate salt-normalized match: RxClass "', name, '" to CMS "', generic_name, '".') else concat('Approximate combination/salt normalization: RxClass "', name, '" to CMS "', generic_name, '".') end note from y where q is not null),
+rku as (select rxcui, sum(claims)::bigint total_claims, sum(bene)::bigint total_beneficiaries, string_agg(distinct q, ', ' order by q) match_quality, string_agg(distinct note, ' ' order by note) match_note, row_number() over (order by sum(claims) desc, coalesce(sum(bene), 0) desc, lower(min(name)), rxcui) as rank from z group by rxcui)"""
+
+
+def usage_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Members and national usage rows, these landed and read back."""
     usage = load(spark, sf_dir, "drug_usage")
     rows = usage.select(F.explode("cms_generic_names").alias("Gnrc_Name"), F.col("total_claims").cast("string").alias("Tot_Clms"), F.when(F.col("usage_no") % 5 > 0, F.col("total_beneficiaries").cast("string")).alias("Tot_Benes"))
     states = rows.select("Gnrc_Name", "Tot_Clms", "Tot_Benes", F.lit("State").alias("Prscrbr_Geo_Lvl"))
     landed = _landed(rows.withColumn("Prscrbr_Geo_Lvl", F.lit("National")).unionByName(states), "usage", snapshots.USAGE)
-    members = usage.select("member.rxcui", "member.name", "member.tty").distinct()
-    ranked = discover.usage_by_member(members, snapshots.national_usage(landed))
+    return usage.select("member.rxcui", "member.name", "member.tty").distinct(), snapshots.national_usage(landed)
+
+
+@query(f"with {MATCHED} select * from rku where rank <= 3")
+def top_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three drugs used most, from landed national usage rows matched by name, with the notes on the matches."""
+    ranked = discover.usage_by_member(*usage_input(spark, sf_dir))
     return discover.representatives(ranked, 3).select("rxcui", "total_claims", "total_beneficiaries", "match_quality", "match_note", F.col("rank").cast("bigint"))
 
 
+@query(
+    f"""with {MATCHED}, {evidence.ANALYSIS}, c as (select count(*) n, count(*) filter (evidence_status = 'explicit_positive') x, count(*) filter (evidence_status = 'insufficient_label_data') i from an join rku using (rxcui) where rank <= 25)
+select n drugs_analyzed, x n_explicit_positive, i n_insufficient_label_data, case when 2 * i > n then 'insufficient_class_evidence' when x >= 2 and 3 * x >= 2 * n then 'consistent_label_evidence' when x >= 1 then 'partial_or_mixed_label_evidence' else 'no_explicit_mentions_found' end class_assessment from c"""
+)
+def class_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run: usage matched and ranked, the 25 drugs used most, their labels searched, and the class row."""
+    _, labels_, chunks_ = evidence.analysis_input(spark, sf_dir)
+    result = analyze.run(*usage_input(spark, sf_dir), labels_, chunks_, evidence.EVENT, top=25)
+    return result.analysis.summary.select("drugs_analyzed", "n_explicit_positive", "n_insufficient_label_data", "class_assessment")
+
+
 RECORDS = """u as (select member.rxcui rxcui, min(member.name) as name from drug_usage group by 1), gn as (select rxcui, list(distinct g) cms from (select member.rxcui rxcui, unnest(cms_generic_names) g from drug_usage) group by rxcui),
 rec as (select label_no, l.rxcui, u.name q, list_position(['rxcui', 'generic_name', 'substance_name', 'brand_name'], query_field) st, coalesce(generic_names, []) g, coalesce(substance_names, []) s, coalesce(label_rxcuis, []) x, effective_time t, selected_spl_set_id sid,
   list_filter([case when label_no % 2 = 0 then 'warnings' end, case when label_no % 3 > 0 then 'warnings_and_cautions' end, case when label_no % 5 > 0 then 'adverse_reactions' end, case when label_no % 7 > 2 then 'contraindications' end], lambda f: f is not null) sf, cms from drug_label l join u on u.rxcui = l.rxcui join gn on gn.rxcui = l.rxcui)"""

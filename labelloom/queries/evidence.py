@@ -331,6 +331,27 @@ def table_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("chunk_id", "rxcui", "column_no", "header", F.expr(N.comparator_name("header")).alias("comparator"), F.expr(N.header_matches("header", "array(drug_name)")).alias("names_drug"))
 
 
+_cell = f"case when {_m('cell', R.CELL_PERCENT)} or cell in ('-', '—', '–') then cell when {_m('h', R.HEADER_PERCENT)} and {_m('cell', R.CELL_NUMBER)} then concat(cell, '%') end"
+
+
+@query(
+    f"""with {LABEL}, dg as (select lower(selected_spl_set_id) set_id, rxcui, list_concat([requested_name], coalesce(generic_names, [])) ns from label where label_match_confidence <> 'low'),
+tb as (select chunk_id, lower(set_id) set_id, unnest(column_headers) h, {_clean("coalesce(unnest(row_cells), '')")} cell, unnest(range(len(column_headers))) i from label_chunk where chunk_type = 'table_row' and len(column_headers) = len(row_cells) and len(column_headers) > 0),
+tc as (select *, {_cell} f, {_kind} k from tb), ow as (select tc.*, rxcui from tc join dg using (set_id) where i > 0 and f is not null and len(list_filter(ns, lambda nm: len({_own}) > 0 and len(list_filter({_own}, lambda t: not list_contains({_tokens('h')}, t))) = 0)) > 0),
+cp as (select ow.chunk_id, ow.rxcui, ow.i, arg_min(concat(o.k, ' ', o.f), o.i) filter (o.f is not null) any_c, min(o.i) first_i, min(o.i) filter (o.f is not null) first_f, arg_min({{'k': o.k, 'f': o.f}}, o.i) c from ow join tc o on o.chunk_id = ow.chunk_id and o.i <> ow.i and o.k is not null group by all)
+select ow.chunk_id, ow.rxcui, ow.i::int column_no, ow.f frequency_text, try_cast(regexp_extract(ow.f, '([0-9]+([.][0-9]+)?)', 1) as double) as value, case when c.f is not null then concat(c.k, ' ', c.f) end comparator_text from ow left join cp on cp.chunk_id = ow.chunk_id and cp.rxcui = ow.rxcui and cp.i = ow.i"""
+)
+def table_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequency in each column of a table row that names the label's drug, with that of the comparator's column."""
+    df = chunks(spark, sf_dir).filter("chunk_type = 'table_row'").join(drugs_of_labels(spark, sf_dir), "set_id")
+    none = "cast(array() as array<string>)"
+    df = df.withColumn("v", F.expr(N.table_variants(f"coalesce(column_headers, {none})", f"coalesce(row_cells, {none})", "drug_names")))
+    # variants come in order of the drug's columns with a frequency
+    own = F.expr(f"filter(transform(column_headers, (h, i) -> if(i > 0 and {N.header_matches('h', 'drug_names')} and {N.cell_frequency('h', 'get(row_cells, i)')} is not null, i, null)), i -> i is not null)")
+    df = df.filter("size(v) > 0").withColumn("o", own).select("chunk_id", "rxcui", F.posexplode("v").alias("n", "x"), "o")
+    return df.select("chunk_id", "rxcui", F.get("o", F.col("n")).alias("column_no"), "x.frequency_text", "x.value", "x.comparator_text")
+
+
 _share = lambda i: f"regexp_extract_all(supporting_quote, {_sql('(?i)' + R.SHARE_OF_POPULATION)}, {i})"
 
 
