@@ -92,3 +92,48 @@ def check(spark, sf):
 def test_gold_cases(spark, sf):
     got, want = check(spark, sf)
     assert got == want
+
+
+def test_determinism(spark):
+    rows = [("a", 1, "x", 5), ("a", 2, "y", 5), ("b", 3, "z", 5)]
+    frame = lambda rs: spark.createDataFrame(rs, "k string, item_order int, v string, retrieved_at int")
+    other = [("a", 2, "y", 9), ("a", 1, "x", 9), ("b", 3, "Z", 9), ("c", 1, None, 1)]
+    got = evaluate.determinism([frame(rows), frame(rows[::-1]), frame(other)], ["k"]).collect()
+    assert {r.k: r.deterministic for r in got} == {"a": True, "b": False, "c": False}
+    twice = evaluate.determinism([frame(rows), frame(rows + rows[:1])], ["k"]).collect()
+    assert {r.k: r.deterministic for r in twice} == {"a": False, "b": True}
+
+
+def test_figures_without_cases(spark, sf):
+    from labelloom.queries.evaluation import scores
+
+    empty = scores(spark, sf).limit(0)
+    row = evaluate.summary(empty).first()
+    assert row.cases == 0 and all(v is None for c, v in row.asDict().items() if c != "cases")
+    matrix = evaluate.confusion(empty, "expected_status", "predicted_status")
+    assert evaluate.macro_f1(evaluate.status_metrics(matrix)).first().status_macro_f1 is None
+    df = spark.createDataFrame([(None,), (0.12345,), (float("nan"),)], "v double")
+    assert [r[0] for r in df.select(evaluate.metric_text(df["v"])).collect()] == ["N/A", "0.123", "N/A"]
+
+
+def test_missed_status_is_skipped_in_the_mean(spark):
+    rows = [("negated", "negated"), ("explicit_positive", "not_found"), ("not_found", "not_found")]
+    metrics = evaluate.status_metrics(evaluate.confusion(spark.createDataFrame(rows, "e string, p string"), "e", "p"))
+    got = {r.status: r for r in metrics.collect()}
+    assert got["explicit_positive"].f1 is None and got["explicit_positive"].recall == 0 and got["comparator_only"].support == 0
+    assert abs(evaluate.macro_f1(metrics).first().status_macro_f1 - (1 + 2 / 3) / 2) < 1e-12
+
+
+def test_sections(spark):
+    cases = [(("Adverse Reactions", None, ["5.1 Rash & fever"]), "rash fever", True), (("X", "6.1 Trials", None), "6.1 trials", True), (("X", None, None), None, False), (None, None, True), (None, "x", False), ((None, None, None), "x", False)]
+    df = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(cases)], "i int, item struct<section_title:string,subsection_title:string,mentioned_in_sections:array<string>>, expected string")
+    assert {r.i: r.m for r in df.select("i", evaluate.section_matches("item", "expected").alias("m")).collect()} == {i: c[2] for i, c in enumerate(cases)}
+
+
+def test_scenarios(spark):
+    ok, bad = "fixed_spl_version_verified", "missing_fixed_spl_version"
+    rows = [("s1", "e", "partial_or_mixed_label_evidence", True, [("1", ok), ("2", ok)]), ("s2", "e", "x", True, [("1", ok), ("2", bad)]), ("s3", "e", "x", None, [("1", ok)]), ("s4", "e", "no_explicit_mentions_found", True, [("9", ok)])]
+    scenarios = spark.createDataFrame(rows, "scenario_id string, event string, expected_class_assessment string, gold_review_complete boolean, drugs array<struct<rxcui:string,state:string>>")
+    statuses = spark.createDataFrame([("e", "1", "explicit_positive"), ("e", "2", "negated")], "event string, rxcui string, evidence_status string")
+    got = {r.scenario_id: (r.evaluated, r.reason, r.predicted, r.correct) for r in evaluate.scenario_results(scenarios, statuses).collect()}
+    assert got == {"s1": (True, None, "partial_or_mixed_label_evidence", True), "s2": (False, bad, None, False), "s4": (True, None, "no_explicit_mentions_found", True)}

@@ -88,6 +88,14 @@ def test_table(spark):
     assert nested.table(nodes, "labels", {"rxcui": "string"}).first().rxcui == "1"
 
 
+def test_unread_texts_and_fields_within_objects(spark):
+    rows = [(1, '{"labels":[{"a":{"b":"x"}},{"a":7}]}', "k"), (2, "", "k"), (3, None, "k"), (4, " \n", "k"), (5, '{"labels":[', "k"), (6, "{} x", "k"), (7, "[]", "k"), (8, "nope", "k"), (8, "nope", "k")]
+    df = spark.createDataFrame(rows, "id bigint, t string, error string")
+    nodes = nested.json_nodes(df, "id", "t")
+    assert sorted((r.record_id, r.error) for r in nested.unread(nodes, df, "id", "t").collect()) == [(2, "blank"), (3, "blank"), (4, "blank"), (5, "not JSON"), (6, "not JSON"), (8, "not JSON"), (8, "not JSON")]
+    assert [(r.path, r.a_b) for r in nested.table(nodes, "labels", {"a.b": "string"}).collect()] == [("$.labels[0]", "x"), ("$.labels[1]", None)]
+
+
 def test_paths(spark):
     rows = [(1, "/Section[1]//SubSection[2]/ table[1] /row[3]/"), (2, "section[1]/paragraph[1]"), (3, None), (4, ""), (5, "subsection[1]"), (5, "subsection[1]")]
     got = [tuple(r) for r in nested.path_links(spark.createDataFrame(rows, "i bigint, p string"), "i", "p").collect()]

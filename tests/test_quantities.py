@@ -72,3 +72,44 @@ def test_default_unit_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, 2.0, " ")] * 2, "t string, v double, u string")
     assert [r.value_e4 for r in normalize_quantities(df, "t", "v", "u", "percent").collect()] == [20000, 20000]
     assert normalize_quantities(df.limit(0), "t", "v", "u").count() == 0
+
+
+def test_written_forms_against_the_numbers_they_were_written_from(spark):
+    """Forms put together from known numbers; the value is worked out from these, not read from the text."""
+    import random
+    from fractions import Fraction
+
+    pick = random.Random(8)
+    group = lambda n, mark: f"{n:,}".replace(",", mark)
+    people = ("patients", "persons", "subjects", "participants", "cases", "people")
+    words = dict(zip("one two three four five six seven eight nine ten".split(), range(1, 11), strict=True))
+    cases = []
+    for _ in range(1500):
+        a, b = pick.randrange(1, 500), pick.randrange(500, 90_000)
+        tenth = pick.randrange(1, 1000)
+        lead = pick.choice(["", "approximately ", "About ", "~", "ca. "])
+        who = pick.choice(people)
+        number = pick.choice([f"{tenth / 10:.1f}", f"{tenth / 10:.1f}".replace(".", ",")])
+        word = pick.choice(list(words))
+        share = [
+            (f"{lead}{number}{pick.choice(['%', ' %', ' percent', ' per cent', ' pct'])}", Fraction(tenth, 10)),
+            (f"{lead}{a} {pick.choice(['of', 'out of', 'among', 'in'])} {group(b, pick.choice(['', ',', ' ']))} {who}", Fraction(100 * a, b)),
+            (f"{a} {who} per {group(b, ',')}", Fraction(100 * a, b)),
+            (f"n={a} (N={b})", Fraction(100 * a, b)),
+            (f"{word} in {b}", Fraction(100 * words[word], b)),
+            (f"{a}/{b}", Fraction(100 * a, b)),
+            (f"{pick.choice(['proportion', 'fraction'])} of 0.{tenth:03d}", Fraction(tenth, 10)),
+            (f"{number}‰", Fraction(tenth, 100)),
+        ]
+        scale, unit = pick.choice([(1, "years"), (12, "months")])
+        rate = [(f"{lead}{a} {pick.choice(['events', 'cases', 'patients'])} per {group(b, pick.choice(['', ',']))} {pick.choice(['patient', 'person', 'subject'])}-{unit}", Fraction(1000 * a * scale, b))]
+        text, value = pick.choice(share + rate)
+        quantity = R if (text, value) in rate else P
+        if quantity == P and value > 100:
+            continue
+        e4 = int((2 * value * 10_000 + 1) // 2)
+        cases.append((pick.choice([text, text.upper(), f" {text} ", f"({text})"]), quantity, e4))
+    df = spark.createDataFrame([(i, t, None, None) for i, (t, _, _) in enumerate(cases)], "i int, t string, v double, u string")
+    got = {r.i: (r.quantity, r.value_e4) for r in normalize_quantities(df, "t", "v", "u").collect()}
+    wrong = [(c, got[i]) for i, c in enumerate(cases) if got[i] != c[1:]]
+    assert not wrong, wrong[:10]
