@@ -60,7 +60,9 @@ def classify(sentence: str, term: str, drug: str, direct: str, interaction_secti
 def route_matches(text: str) -> str:
     """SQL of array<struct<s, e, clue, route>> of all route clues in order of place."""
     found = ", ".join(f"transform({places(text, pattern(p))}, q -> named_struct('s', q.at, 'e', q.at + length(q.m), 'clue', {lit(c)}, 'route', {lit(r)}))" for c, r, p in R.ROUTE_CLUES)
-    return f"array_sort(flatten(array({found})))"
+    none = "cast(array() as array<struct<s:int,e:int,clue:string,route:string>>)"
+    # most texts name no route, which one pass tells
+    return f"if({has_any(text, tuple(p for _, _, p in R.ROUTE_CLUES))}, array_sort(flatten(array({found}))), if({text} is null, null, {none}))"
 
 
 def nearest_route(matches: str, text: str, term: str | None = None) -> str:

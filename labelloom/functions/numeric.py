@@ -28,7 +28,8 @@ def span_of(text: str, m: str, at: str) -> str:
 
 def spans(text: str) -> str:
     """SQL of the spans of all frequency-like numbers and words of a text."""
-    return f"transform({places(text, pattern(R.FREQUENCY))}, q -> {span_of(text, 'q.m', 'q.at')})"
+    found = f"transform({places(text, pattern(R.FREQUENCY))}, q -> {span_of(text, 'q.m', 'q.at')})"
+    return f"if({text} rlike {pattern(R.FREQUENCY)}, {found}, if({text} is null, null, cast(array() as array<{SPAN}>)))"
 
 
 def role(s: str, term: str | None = None) -> str:
@@ -146,7 +147,7 @@ def text_comparator(text: str) -> str:
     holds = f"transform(array({value}), v -> v = '-' or transform(array({span}), s -> {role('s')} = 'comparator_frequency')[0])[0]"
     first = f"transform(filter({places(text, forward)}, q -> {holds}), q -> concat(initcap(regexp_extract(q.m, {forward}, 1)), ': ', {collapse(value)}))"
     return (
-        f"coalesce(get({first}, 0), case when {text} rlike {reverse} then concat(initcap(regexp_extract({text}, {reverse}, 2)), ' ', regexp_replace(regexp_extract({text}, {reverse}, 1), '\\\\s', ''))"
+        f"coalesce(if({text} rlike {forward}, get({first}, 0), null), case when {text} rlike {reverse} then concat(initcap(regexp_extract({text}, {reverse}, 2)), ' ', regexp_replace(regexp_extract({text}, {reverse}, 1), '\\\\s', ''))"
         f" when {text} rlike {often} then concat(initcap(regexp_extract({text}, {often}, 1)), ' (frequency not stated)') end)"
     )
 

@@ -31,7 +31,8 @@ def has(text: str, template: str, **columns: str) -> str:
 
 
 def has_any(text: str, templates: tuple[str, ...], **columns: str) -> str:
-    return "(" + " or ".join(has(text, t, **columns) for t in templates) + ")"
+    """Whether any of the patterns occurs, tried in one pass."""
+    return has(text, "|".join(f"(?:{t})" for t in templates), **columns)
 
 
 def collapse(text: str) -> str:
@@ -73,7 +74,8 @@ def clauses(sentence: str) -> str:
 def extract_all(text: str, patterns: tuple[str, ...]) -> str:
     """Distinct matches in order of patterns, then of places."""
     arrays = ", ".join(f"transform(regexp_extract_all({text}, {pattern(p)}, 0), m -> trim(m))" for p in patterns)
-    return f"array_distinct(filter(flatten(array({arrays})), m -> length(m) > 0))"
+    # most texts hold none, which one pass tells
+    return f"if({has_any(text, patterns)}, array_distinct(filter(flatten(array({arrays})), m -> length(m) > 0)), if({text} is null, null, cast(array() as array<string>)))"
 
 
 def tokens(text: str) -> str:

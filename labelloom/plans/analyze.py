@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import rules as R
 from labelloom.functions import text as X
 from labelloom.plans import discover, evaluate, extract, rollup
-from labelloom.session import written
+from labelloom.session import if_small, written
 
 
 @dataclass
@@ -65,14 +65,14 @@ def analyze(drugs: DataFrame, labels: DataFrame, chunks: DataFrame, event: str)
     plan = extract.event_plan(event)
     usable = labels.filter(F.coalesce(F.lower("label_match_confidence") != "low", F.lit(False)))
     parsed = usable.filter(F.col("extraction_source") == "dailymed_spl_xml").select("rxcui", F.lower("selected_spl_set_id").alias("__set"))
-    own = extract.parent_context(extract.searchable(chunks)).join(parsed, F.lower("set_id") == F.col("__set")).drop("__set")
+    own = extract.parent_context(extract.searchable(chunks)).join(if_small(parsed), F.lower("set_id") == F.col("__set")).drop("__set")
     other = fallback_chunks(usable.filter(F.col("extraction_source") != "dailymed_spl_xml"))
     other = other.withColumns({"section_key": F.expr(extract.A.section_key("section_code")), "pos": F.col("chunk_index"), "parent_context": F.lit(None).cast("string")})
     wanted = [c for c in other.columns if c in own.columns]
     every = own.select(*wanted).unionByName(other.select(*wanted))
     named = product_context(drugs, labels)
-    ready = every.join(named, "rxcui")
-    found = written(extract.items(ready, [plan]), "items")  # merging reads the items twice
+    every = written(every, "chunks")  # searched for the event, and for the drugs that have any
+    found = written(extract.items(every, [plan], named, "rxcui"), "items")  # merging reads the items twice
     searched = every.select("rxcui").distinct().withColumn("__searched", F.lit(True))
     lacking = drugs.join(searched, "rxcui", "left").filter(F.col("__searched").isNull())
     event_name = F.lit(plan.event)

@@ -14,7 +14,7 @@ def checked(chunks: DataFrame) -> DataFrame:
     The first chunk of equal text in a document is kept and numbered again.
     """
     keys, order = document(chunks), reading_order(chunks)
-    df = normalized_text(chunks, "norm")
+    df = normalized_text(chunks, "norm").repartition(*keys)
     same = Window.partitionBy(*keys, "norm").orderBy(*order)
     state = F.when(F.length("norm") == 0, "empty").when(F.row_number().over(same) > 1, "duplicate").otherwise("kept")
     df = df.withColumn("state", state)

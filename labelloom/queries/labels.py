@@ -224,8 +224,8 @@ def drugs_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extracted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence items of all events of the rules found in all label chunks, merged."""
     chunks = load(spark, sf_dir, "label_chunk").withColumn("set_id", F.lower("set_id"))
-    ready = extract.parent_context(extract.searchable(chunks)).join(drugs_of_labels(spark, sf_dir), "set_id")
-    items = written(extract.items(ready, [extract.event_plan(e) for e in R.EVENTS]), "items")
+    ready = extract.parent_context(extract.searchable(chunks))
+    items = written(extract.items(ready, [extract.event_plan(e) for e in R.EVENTS], drugs_of_labels(spark, sf_dir)), "items")
     return rollup.merge_items(items).drop("source_text")
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -50,6 +51,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Rows up to which a side of a join is broadcast; a row of the sides it is used for takes some hundred bytes.
+BROADCAST_ROWS = 100_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, which are counted; else as it is, to be joined by shuffle, with skewed keys split at run time."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 _TABLES: dict[str, list[str]] = {}
 
 
