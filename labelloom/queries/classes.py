@@ -40,10 +40,18 @@ def class_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The members of all classes of each drug, in the shape of landed relations, read back through their reader."""
+    """The members of all classes of each drug, landed as relations and read back."""
     members = class_members(spark, sf_dir)
-    drugs = members.select("class_id", F.col("rxcui").alias("drug_rxcui"), F.col("name").alias("drug_name"))
-    return drugs.join(members, "class_id").withColumn("ord", F.col("rxcui").cast("bigint"))
+    drugs = members.select("class_id", F.col("rxcui").alias("drug_rxcui"))
+    item = F.struct(
+        F.col("rxcui").cast("bigint").alias("o"), "class_id", F.struct(F.col("class_id").alias("classId"), F.col("class_name").alias("className"), F.col("class_type").alias("classType")).alias("rxclassMinConceptItem"),
+        F.struct("tty", "rxcui", "name").alias("minConcept"), F.col("rela_source").alias("relaSource"), F.col("rela").alias("rela"),
+    )
+    listed = drugs.join(members, "class_id").groupBy("drug_rxcui").agg(F.array_sort(F.collect_list(item)).alias("i"))
+    shape = F.transform("i", lambda x: F.struct(x["rxclassMinConceptItem"].alias("rxclassMinConceptItem"), x["minConcept"].alias("minConcept"), x["relaSource"].alias("relaSource"), x["rela"].alias("rela")))
+    landed = _landed(listed.select(F.col("drug_rxcui").alias("rxcui"), F.struct(shape.alias("rxclassDrugInfo")).alias("rxclassDrugInfoList")), "relations", snapshots.RELATIONS)
+    names = members.select(F.col("rxcui").alias("drug_rxcui"), F.col("name").alias("drug_name")).distinct()
+    return snapshots.class_relations(landed).join(names, "drug_rxcui")
 
 
 def by_drug(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,9 +160,10 @@ def _landed(df: DataFrame, label: str, schema: str) -> DataFrame:
 @query("select class_id, class_name, class_type, rela_source, rela from (select class_id, class_name, 'EPC' class_type, 'FDASPL' rela_source, 'has_EPC' rela, row_number() over (partition by class_id order by run_id) r from analysis_run where length(trim(class_id)) > 0 and length(trim(class_name)) > 0) where r = 1")
 def catalog_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A landed class catalogue read back: blanks and repeated ids left out, the default relation of each kind added."""
-    runs = load(spark, sf_dir, "analysis_run").orderBy("run_id").select("run_id", "class_id", "class_name")
-    concepts = runs.agg(F.transform(F.array_sort(F.collect_list(F.struct("run_id", "class_id", "class_name"))), lambda r: F.struct(r["class_id"].alias("classId"), r["class_name"].alias("className"), F.lit("EPC").alias("classType"))).alias("rxclassMinConcept"))
-    return snapshots.class_catalog(_landed(concepts.select(F.struct("rxclassMinConcept").alias("rxclassMinConceptList")), "catalog", snapshots.CATALOG))
+    runs = load(spark, sf_dir, "analysis_run").select(F.floor(F.col("run_id") / 1000).alias("page"), "run_id", "class_id", "class_name")
+    concept = lambda r: F.struct(r["class_id"].alias("classId"), r["class_name"].alias("className"), F.lit("EPC").alias("classType"))
+    pages = runs.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("run_id", "class_id", "class_name"))), concept).alias("rxclassMinConcept"))
+    return snapshots.class_catalog(_landed(pages.select("page", F.struct("rxclassMinConcept").alias("rxclassMinConceptList")), "catalog", f"page bigint, {snapshots.CATALOG}"))
 
 
 @query(
@@ -168,6 +177,55 @@ def members_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.class_members(_landed(landed, "members", snapshots.MEMBERS))
 
 
+_opts = lambda pairs: "[" + ", ".join(f"{{'s': '{a}', 'r': {repr(b) if b else 'null'}}}" for a, b in pairs) + "]"
+_options = "case when class_type like 'ATC%' then " + _opts(snapshots.relation_options("ATC")) + " " + " ".join(f"when class_type = '{k}' then {_opts(v)}" for k, v in snapshots.OPTIONS.items()) + f" else {_opts(snapshots.relation_options(''))} end"
+
+
+@query(f"with {MEMBERS}, k as (select distinct class_id, class_type from cm), o as (select class_id, unnest({_options}) o, unnest(range(1, len({_options}) + 1))::int option from k) select class_id, option, o.s rela_source, o.r rela from o")
+def relation_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources and relations to ask for the members of every class, in order."""
+    return snapshots.option_table(class_members(spark, sf_dir).select("class_id", "class_type").distinct(), "class_type").select("class_id", "option", "rela_source", "rela")
+
+
+_year = "left(strftime(created_at, '%Y'), 4)"
+
+
+@query(
+    f"""with r as (select run_id, id, class_name, created_at from analysis_run), t as (select class_name from r where run_id = (select min(run_id) from r)), s as (select * from r where class_name = (select class_name from t) order by run_id limit 1),
+o as (select r.id, row_number() over (order by r.run_id) n from r, s where {_year.replace('created_at', 'r.created_at')} = '2024' and r.run_id % 2 = 0 and r.run_id // 100 = s.run_id // 100 and r.id <> s.id) select s.id dataset_type_id, (select id from o where n = 1) dataset_version_id from s"""
+)
+def dataset_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of a data set and of its version of a year, from a landed catalogue of data sets."""
+    runs = load(spark, sf_dir, "analysis_run").select("run_id", "id", "class_name", "created_at")
+    address = F.concat(F.lit("https://host/data-api/v1/dataset/"), "id", F.lit("/data"))
+    first = runs.orderBy("run_id").limit(1)
+    # the runs of the same hundred are the data set's distributions
+    offer = F.struct("run_id", F.when(F.col("run_id") % 2 == 0, "api").otherwise("CSV").alias("format"), F.date_format("created_at", "yyyy-MM-dd").alias("temporal"), address.alias("accessURL"))
+    offers = runs.groupBy(F.floor(F.col("run_id") / 100).alias("hundred")).agg(F.transform(F.array_sort(F.collect_list(offer)), lambda x: F.struct(x["format"].alias("format"), x["temporal"].alias("temporal"), x["accessURL"].alias("accessURL"))).alias("distribution"))
+    one = F.struct(F.col("class_name").alias("title"), address.alias("identifier"), "distribution")
+    payload = first.withColumn("hundred", F.floor(F.col("run_id") / 100)).join(offers, "hundred").select("class_name", F.array(one).alias("dataset"))
+    return classes.resolve_dataset(payload, first.first().class_name, 2024)
+
+
+@query("select id, run_id, concat('[\"', array_to_string(from_json(selected_drugs, '[\"varchar\"]'), '\",\"'), '\"]') selected_drugs, 2::bigint copies from analysis_run")
+def appended_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs appended twice to a table with their lists as JSON, and read back."""
+    runs = load(spark, sf_dir, "analysis_run").select("id", "run_id", F.from_json("selected_drugs", "array<string>").alias("selected_drugs"))
+    path = scratch(spark, "runs")
+    for _ in range(2):
+        snapshots.append_run(runs, path)
+    return spark.read.parquet(path).groupBy("id", "run_id", "selected_drugs").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query("select case_id, drug_name, expected_status, coalesce(array_to_string(expected_context, '|'), '') expected_context, score_frequency, gold_review_complete from gold_case")
+def reviewed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviewed cases landed as one JSON array and read back."""
+    names = [c.split()[0] for c in snapshots.CASES.split(", ")]
+    payload = load(spark, sf_dir, "gold_case").agg(F.collect_list(F.struct(*names)).alias("cases"))
+    df = snapshots.reviewed_cases(_landed(payload, "cases", f"cases array<struct<{snapshots.CASES.replace(' ', ':').replace(',:', ',')}>>"))
+    return df.select("case_id", "drug_name", "expected_status", F.coalesce(F.array_join("expected_context", "|"), F.lit("")).alias("expected_context"), "score_frequency", "gold_review_complete")
+
+
 CANDIDATES = """c as (select lower(g) q, usage_no, unnest([1, 2]) k, member.rxcui rxcui, rank from (select *, unnest(cms_generic_names) g from drug_usage)),
 r as (select q, rxcui, rank + k as rk, (usage_no % 100)::double sc, case when (usage_no + k) % 3 = 0 then 'RXNORM' else 'OTHER' end src, usage_no * 2 + k as o from c),
 b as (select q, rxcui, arg_max((rk, sc), (src = 'RXNORM', case when src = 'RXNORM' then o else -o end)) v from r group by all),

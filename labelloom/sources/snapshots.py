@@ -47,10 +47,14 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def class_catalog(payload: DataFrame) -> DataFrame:
-    """class_id, class_name, class_type, source and relation; blank ids and names left out, the first of equal (id, type) kept."""
-    rows = payload.select(F.posexplode("rxclassMinConceptList.rxclassMinConcept").alias("ord", "c"))
-    rows = rows.select("ord", F.trim("c.classId").alias("class_id"), F.trim("c.className").alias("class_name"), F.trim(F.coalesce("c.classType", F.lit(""))).alias("class_type"))
-    rows = first_seen(rows.filter((F.length("class_id") > 0) & (F.length("class_name") > 0)), ["class_id", "class_type"], ["ord"])
+    """class_id, class_name, class_type, source and relation; blank ids and names left out, the first of equal (id, type) kept.
+
+    A catalogue landed in several pages has their number in ``page``.
+    """
+    page = F.col("page") if "page" in payload.columns else F.lit(0).alias("page")
+    rows = payload.select(page, F.posexplode("rxclassMinConceptList.rxclassMinConcept").alias("ord", "c"))
+    rows = rows.select("page", "ord", F.trim("c.classId").alias("class_id"), F.trim("c.className").alias("class_name"), F.trim(F.coalesce("c.classType", F.lit(""))).alias("class_type"))
+    rows = first_seen(rows.filter((F.length("class_id") > 0) & (F.length("class_name") > 0)), ["class_id", "class_type"], ["page", "ord"])
     kind = F.upper("class_type")
     source, relation = F.when(kind.startswith("ATC"), "ATC"), F.when(F.lit(False), "")
     for name, options in OPTIONS.items():
@@ -68,6 +72,34 @@ def class_members(payload: DataFrame) -> DataFrame:
     return first_seen(rows, ["class_id", "rxcui", "__key"], ["ord"]).select("class_id", "rxcui", "name", "tty")
 
 
+def class_relations(payload: DataFrame) -> DataFrame:
+    """drug_rxcui, ord, class_id, class_name, class_type, rela_source, rela and the member's rxcui, name and tty: the classes through which each drug was found."""
+    rows = payload.select(F.col("rxcui").alias("drug_rxcui"), F.posexplode("rxclassDrugInfoList.rxclassDrugInfo").alias("ord", "i"))
+    item, member = "i.rxclassMinConceptItem", "i.minConcept"
+    return rows.select("drug_rxcui", "ord", F.col(f"{item}.classId").alias("class_id"), F.col(f"{item}.className").alias("class_name"), F.col(f"{item}.classType").alias("class_type"), F.col("i.relaSource").alias("rela_source"), F.col("i.rela").alias("rela"), f"{member}.rxcui", f"{member}.name", f"{member}.tty")
+
+
+def option_table(types: DataFrame, column: str) -> DataFrame:
+    """``types`` with one row per relation option of its class type: option (from 1), rela_source and rela."""
+    kind = F.upper(F.trim(F.coalesce(column, F.lit(""))))
+    entry = lambda options: F.array(*[F.struct(F.lit(s).alias("rela_source"), F.lit(r).cast("string").alias("rela")) for s, r in options])
+    listed = F.when(kind.startswith("ATC"), entry(relation_options("ATC")))
+    for name, options in OPTIONS.items():
+        listed = listed.when(kind == name, entry(options))
+    listed = listed.otherwise(entry(relation_options("")))
+    rows = types.select("*", F.posexplode(listed).alias("__at", "__o"))
+    return rows.select(*types.columns, (F.col("__at") + 1).alias("option"), "__o.*")
+
+
+# The reviewed cases as they are landed, in one array.
+CASES = "case_id string, benchmark_group string, drug_name string, rxcui string, event_query string, normalized_event string, spl_set_id string, expected_status string, expected_context array<string>, score_frequency boolean, gold_review_complete boolean"
+
+
+def reviewed_cases(payload: DataFrame) -> DataFrame:
+    """One row per reviewed case of landed files (``cases``: array of ``CASES``), in their ``ord``."""
+    return payload.select(F.posexplode("cases").alias("ord", "c")).select("ord", "c.*")
+
+
 def best_candidates(payload: DataFrame, top: int = 15) -> DataFrame:
     """Per query the ``top`` candidates: of each rxcui the last row of the preferred source, else its first."""
     rows = payload.select("query", F.posexplode("approximateGroup.candidate").alias("ord", "c")).select("query", "ord", "c.*")
