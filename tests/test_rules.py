@@ -165,3 +165,12 @@ def test_event_plan():
     assert extract.event_plan(" Low blood-pressure ").event == "hypotension"
     assert extract.event_plan("QT prolongation").event == "qt prolongation"
     assert extract.event_plan("odd thing!") == extract.EventPlan("odd thing!", "odd thing", ("odd thing",), ())
+
+
+def test_fold_is_the_same_in_both_ways(spark):
+    texts = ["", " ", "A-b,\tC % d!", "x" * 5000 + " --- " * 2000, "".join(map(chr, range(1, 128))) * 3, "a\x00b", "ＡＢ c", "5.1 Rash\n\n(see 'x')\\", None]
+    df = spark.createDataFrame([(i, t, "", None) for i, t in enumerate(texts)], "i int, text string, section_title string, subsection_title string")
+    assert {r.i: r.n for r in extract.normalized_text(df, "n").collect()} == {i: X.fold_characters(t or "") for i, t in enumerate(texts)}
+    plain = [t for t in texts if t and t.isascii() and "\x00" not in t]
+    got = spark.createDataFrame([(t,) for t in plain], "t string").select(F.expr(X.fold("t"))).collect()
+    assert [r[0] for r in got] == [X.fold_characters(t) for t in plain]
