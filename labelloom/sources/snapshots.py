@@ -140,9 +140,9 @@ def scrub(text: Column, secrets: list[str]) -> Column:
     return reduce(lambda c, s: F.replace(c, F.lit(s), F.lit("***")), [s for s in secrets if s], text)
 
 
-def write_json(df: DataFrame, path: str) -> None:
+def write_json(df: DataFrame, path: str, compression: str = "none") -> None:
     """Results as JSON lines, nulls included."""
-    df.write.option("ignoreNullFields", "false").mode("overwrite").json(path)
+    df.write.option("ignoreNullFields", "false").mode("overwrite").json(path, compression=compression)
 
 
 def append_run(df: DataFrame, path: str) -> None:

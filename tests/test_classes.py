@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from labelloom.plans import classes, labels
+from labelloom.queries import classes as class_queries
 
 RELATIONS = "drug_rxcui string, drug_name string, ord int, class_id string, class_name string, class_type string, rela_source string, rela string, rxcui string, name string, tty string"
 
@@ -54,6 +57,33 @@ def test_enrichment_and_groups(spark, found):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_members_without_pairs(spark, seed):
+    """Equal to the relations of all pairs: drugs with two names or none, that are no members, products and combinations under one name."""
+    r = random.Random(seed)
+    names = ["velorin", "velorin sodium", "Velorin-Sodium", "zolarex", "velorin / zolarex", "zolarex sodium / velorin", "sodium", "", None, "a b velorin", "xandol 5 MG", "xandol"]
+    members = []
+    for ord in range(240):
+        c = r.randrange(9)
+        rela = r.choice([("FDASPL", "has_EPC"), ("DAILYMED", "has_EPC_extended"), ("MEDRT", "has_MoA"), ("ATC", None), (None, "x")])
+        kind = r.choice(["EPC", "EPC", "MOA"]) if c == 0 else ["EPC", "MOA", "ATC1-4", "VA"][c % 4]
+        tty = r.choice(["MIN", "GPCK"]) if c == 8 else r.choice(["IN", "PIN", "MIN", "SCD", "GPCK", "BN", None] if c % 2 else ["PIN", "MIN", "SCD", "IN"])
+        members.append((ord, f"C{c}" if c != 7 else r.choice([" C7", "C7"]), r.choice(["One", "Two", None]), kind, *rela, str(r.randrange(10)) if r.random() < 0.95 else None, r.choice(names), tty))
+    drugs = [(str(d), n, f"C{c}") for d in range(14) for n in {r.choice(names), r.choice(names)} for c in range(9) if r.random() < 0.7]
+    columns = "ord bigint, class_id string, class_name string, class_type string, rela_source string, rela string, rxcui string, name string, tty string"
+    m, d = spark.createDataFrame(members, columns), spark.createDataFrame(drugs, "drug_rxcui string, drug_name string, class_id string")
+    pairs = d.withColumnRenamed("class_id", "id").join(m, F.col("id") == F.trim("class_id")).drop("id")
+    plain = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    want = plain(classes.classes_by_drug(pairs))
+    assert want and plain(classes.classes_of_members(d, m)) == want
+
+
+def test_relations_are_not_paired(spark, sf):
+    """As many relations are landed as there are members, not pairs of them."""
+    members = class_queries.class_members(spark, sf)
+    assert class_queries.relations(spark, sf).count() == members.count() < members.join(members.select("class_id"), "class_id").count()
+
+
 def test_browse(spark):
     rows = [("1", "Beta Agents", "EPC", "FDASPL", 5), ("2", "alpha-agents", "EPC", "FDASPL", None), ("3", "Gamma agents", "MOA", "MEDRT", 60), ("4", None, "EPC", "VA", 12)]
     catalog = spark.createDataFrame(rows, "class_id string, class_name string, class_type string, rela_source string, member_count int")
